@@ -63,3 +63,9 @@ def ship_package(spark: SparkSession) -> None:
                     target.write(full, os.path.relpath(full, base))
     context.addPyFile(archive)
     _shipped[context.applicationId] = archive
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings the operators rely on: wall times are read in UTC unless an operator names a zone."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
