@@ -23,7 +23,7 @@ NA_SPELLINGS = (
 
 def base_name(path: Column) -> Column:
     """Last component of a path or URI."""
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def file_stem(path: Column) -> Column:
@@ -32,8 +32,8 @@ def file_stem(path: Column) -> Column:
 
 
 def folder_of(path: Column) -> Column:
-    """Everything before the last slash."""
-    return F.regexp_replace(path, "/[^/]*$", "")
+    """Everything before the last slash; empty when there is none."""
+    return F.substring(path, F.lit(1), F.length(path) - F.length(base_name(path)) - F.lit(1))
 
 
 def decode_file_url(url: Column) -> Column:
@@ -175,7 +175,8 @@ def experiment_id_from_source(path: Column, is_file: Column) -> Column:
 
 def experiment_id_of_file(path: Column) -> Column:
     """Folder name of a data file, looking through a raw-data folder such as ``UNFILTERED``."""
-    parts = F.split(path, "/")
-    parent = F.get(parts, F.size(parts) - F.lit(2))
-    grandparent = F.get(parts, F.size(parts) - F.lit(3))
-    return F.when(parent.isin(*RAW_DATA_FOLDERS), grandparent).otherwise(parent)
+    def above(levels):
+        return F.substring_index(F.substring_index(path, "/", -levels - 1), "/", 1)
+
+    parent = F.when(path.contains("/"), above(1))
+    return F.when(parent.isin(*RAW_DATA_FOLDERS), above(2)).otherwise(parent)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions import scalars as fx
 from pulseframe.operators.positions import with_record_idx
-from pulseframe.sources.listmode_format import RAW_DATA_FOLDERS
 
 SAMPLES_COLUMN = "SAMPLES"
 DELIMITER = ";"
@@ -23,11 +22,19 @@ CSV_COLUMNS = {
 
 
 def _pieces(value: Column, delimiter: str) -> Column:
-    return F.split(value, rf"\Q{delimiter}\E", -1)
+    # A plain or backslashed single character is split without a regular expression.
+    pattern = delimiter if delimiter.isalnum() else "".join("\\" + c for c in delimiter)
+    return F.split(value, pattern, -1)
+
+
+def _n_pieces(value: Column, delimiter: str) -> Column:
+    removed = F.length(value) - F.length(F.replace(value, F.lit(delimiter), F.lit("")))
+    return (removed / F.lit(len(delimiter))).cast("int") + F.lit(1)
 
 
 def csv_folder_headers(lines: DataFrame, delimiter: str = DELIMITER) -> DataFrame:
-    """``(folder, names, width)``: header names and first-data-line width of each folder.
+    """``(folder, names, width, place)`` of each folder: header names, width of the first data line,
+    and where each list-mode column stands among the fields.
 
     They come from the unnumbered file of the folder (lowest file name when there are several).
     """
@@ -51,28 +58,42 @@ def csv_folder_headers(lines: DataFrame, delimiter: str = DELIMITER) -> DataFram
             F.when(F.array_contains("names", SAMPLES_COLUMN), F.coalesce("data_width", F.lit(1)))
             .otherwise(F.size("names")).alias("width"),
         )
+        .withColumn("place", F.struct(*[
+            _place(column).alias(column) for column in sorted(set(CSV_COLUMNS.values()))]))
     )
 
 
+def _place(column: str) -> Column:
+    """0-based place of the first header name that stands for the column; null when none does."""
+    places = [
+        F.nullif(F.array_position("names", name), F.lit(0)) for name, c in CSV_COLUMNS.items() if c == column
+    ]
+    found = F.coalesce(*places) if len(places) > 1 else places[0]
+    return (found - F.lit(1)).cast("int")
+
+
 def listmode_csv_rows(lines: DataFrame, delimiter: str = DELIMITER) -> DataFrame:
-    """Data lines as ``(source_file, line_no, names, width, parts)`` after the bad-line rule.
+    """Data lines as ``(source_file, line_no, names, width, place, parts)`` after the bad-line rule.
 
     Lines with too many fields are dropped, blank lines skipped, short lines padded with nulls later.
     Only the unnumbered file's first line is a header.
     """
     headers = csv_folder_headers(lines, delimiter)
-    keyed = lines.withColumn("folder", fx.folder_of(F.col("source_file")))
+    value = F.col("value")
     is_header_line = (F.col("line_no") == 0) & fx.is_unnumbered(F.col("source_file"))
-    data = keyed.where(~is_header_line & ~F.col("value").rlike(r"^[ \t]*$"))
+    data = lines.where(~is_header_line & (F.trim(value, F.lit(" \t")) != "")).withColumn(
+        "folder", fx.folder_of(F.col("source_file")))
     names = F.coalesce(
         F.col("names"),
         F.raise_error(F.lit("Could not find csv file with headers")).cast("array<string>"),
     )
+    fits = _n_pieces(value, delimiter) <= F.greatest(F.col("width"), F.size("names"))
+    # Counting delimiters is cheaper than splitting, and a null width (no header) must reach the error.
     return (
         data.join(headers, "folder", "left")
-        .select("source_file", "line_no", names.alias("names"), "width",
-                _pieces(F.col("value"), delimiter).alias("parts"))
-        .where(F.size("parts") <= F.greatest(F.col("width"), F.size("names")))
+        .where(fits | F.col("width").isNull())
+        .select("source_file", "line_no", names.alias("names"), "width", "place",
+                _pieces(value, delimiter).alias("parts"))
     )
 
 
@@ -102,22 +123,14 @@ def typed_listmode(rows: DataFrame) -> DataFrame:
     """The fixed ``listmode`` columns from delimited rows (``record_idx`` as found in the input)."""
 
     def text_of(target):
-        found = [
-            F.get("parts", (F.array_position("names", name) - 1).cast("int"))
-            for name, column in CSV_COLUMNS.items() if column == target
-        ]
-        # array_position is 0 when absent, and get(-1) is null.
-        return F.trim(F.coalesce(*found))
+        return F.trim(F.get("parts", F.col("place")[target]))
 
     flags = text_of("FLAGS")
     hexadecimal = flags.rlike("^0[xX][0-9a-fA-F]{1,8}$")
     flag_value = F.when(hexadecimal, fx.uint32_from_hex(flags.substr(F.lit(3), F.length(flags))))
     flag_value = flag_value.otherwise(flags.try_cast("bigint"))
-    parts = F.split("source_file", "/")
-    parent, above = F.get(parts, F.size(parts) - 2), F.get(parts, F.size(parts) - 3)
-    experiment = F.when(parent.isin(*RAW_DATA_FOLDERS), above).otherwise(parent)
     return rows.select(
-        experiment.alias("experiment_id"),
+        fx.experiment_id_of_file(F.col("source_file")).alias("experiment_id"),
         "source_file",
         "record_idx",
         text_of("BOARD").try_cast("smallint").alias("BOARD"),

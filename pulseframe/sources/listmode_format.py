@@ -258,10 +258,10 @@ def to_arrow(parts: list[np.ndarray], path: str, first_idx: int, with_samples: b
     count = len(records)
     names = records.dtype.names
 
-    def field(name, kind):
+    def field(name, kind, stored):
         if name not in names:
             return pa.nulls(count, kind)
-        return pa.array(records[name].astype(kind.to_pandas_dtype()), type=kind)
+        return pa.array(records[name].astype(stored), type=kind)
 
     columns = {
         "experiment_id": pa.repeat(pa.scalar(experiment_of(path), pa.string()), count),
@@ -272,9 +272,9 @@ def to_arrow(parts: list[np.ndarray], path: str, first_idx: int, with_samples: b
         "TIMESTAMP": pa.array(records["TIMESTAMP"].astype("u8")).cast(pa.decimal128(20, 0)),
         "FLAGS": pa.array(records["FLAGS"].astype("i8")),
     }
-    for name, kind in (("ENERGY", pa.int16()), ("CALIB_ENERGY", pa.float64()),
-                       ("ENERGYSHORT", pa.int16()), ("WAVEFORM_CODE", pa.int16())):
-        columns[name] = field(name, kind)
+    for name, kind, stored in (("ENERGY", pa.int16(), "i2"), ("CALIB_ENERGY", pa.float64(), "f8"),
+                               ("ENERGYSHORT", pa.int16(), "i2"), ("WAVEFORM_CODE", pa.int16(), "i2")):
+        columns[name] = field(name, kind, stored)
     list_type = pa.list_(pa.int16())
     if "n" not in names or not with_samples:
         columns["samples"] = pa.nulls(count, list_type)
