@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.functions import scalars as fx
+from pulseframe.operators.joins import join_summary, measure, measured
 from pulseframe.operators.positions import with_record_idx
+from pulseframe.sources.lines import block_starts, place_in_block, read_lines, rows_before, text_rows
 
 SAMPLES_COLUMN = "SAMPLES"
 DELIMITER = ";"
+CSV_GLOB = "*.[cC][sS][vV]"
 SINGLE_CHANNEL_PREFIX = "SData"
 DUAL_CHANNEL_PREFIX = "Data_CH"
 
@@ -72,31 +75,44 @@ def _place(column: str) -> Column:
     return (found - F.lit(1)).cast("int")
 
 
-def listmode_csv_rows(lines: DataFrame, delimiter: str = DELIMITER) -> DataFrame:
-    """Data lines as ``(source_file, line_no, names, width, place, parts)`` after the bad-line rule.
+def _fits(headers: DataFrame, data: DataFrame, delimiter: str) -> DataFrame:
+    """``data(value, folder)`` without blank lines and lines with too many fields (the bad-line rule),
+    with the header columns of its folder.
 
-    Lines with too many fields are dropped, blank lines skipped, short lines padded with nulls later.
-    Only the unnumbered file's first line is a header.
+    Short lines are padded with nulls later. A folder without header raises.
     """
-    headers = csv_folder_headers(lines, delimiter)
+    most = F.coalesce(
+        F.greatest(F.col("width"), F.size("names")),
+        F.raise_error(F.lit("Could not find csv file with headers")).cast("int"))
     value = F.col("value")
-    is_header_line = (F.col("line_no") == 0) & fx.is_unnumbered(F.col("source_file"))
-    data = lines.where(~is_header_line & (F.trim(value, F.lit(" \t")) != "")).withColumn(
-        "folder", fx.folder_of(F.col("source_file")))
-    names = F.coalesce(
-        F.col("names"),
-        F.raise_error(F.lit("Could not find csv file with headers")).cast("array<string>"),
+    # Counting delimiters is cheaper than splitting.
+    return (
+        data.where(F.trim(value, F.lit(" \t")) != "").join(headers, "folder", "left")
+        .where(_n_pieces(value, delimiter) <= most)
     )
-    fits = _n_pieces(value, delimiter) <= F.greatest(F.col("width"), F.size("names"))
-    # Counting delimiters is cheaper than splitting, and a null width (no header) must reach the error.
+
+
+def _kept_lines(lines: DataFrame, headers: DataFrame, delimiter: str) -> DataFrame:
+    """Data lines still as text. Only the unnumbered file's first line is a header."""
+    is_header_line = (F.col("line_no") == 0) & fx.is_unnumbered(F.col("source_file"))
+    data = lines.where(~is_header_line).withColumn("folder", fx.folder_of(F.col("source_file")))
+    return _fits(headers, data, delimiter).select("source_file", "line_no", "value")
+
+
+def _with_layout(kept: DataFrame, headers: DataFrame, delimiter: str) -> DataFrame:
     return (
-        data.join(headers, "folder", "left")
-        .where(fits | F.col("width").isNull())
-        .select("source_file", "line_no", names.alias("names"), "width", "place",
-                _pieces(value, delimiter).alias("parts"))
+        kept.withColumn("folder", fx.folder_of(F.col("source_file")))
+        .join(headers, "folder", "left").drop("folder")
+        .withColumn("parts", _pieces(F.col("value"), delimiter)).drop("value")
     )
 
 
+def listmode_csv_rows(lines: DataFrame, delimiter: str = DELIMITER) -> DataFrame:
+    """Data lines as ``(source_file, line_no, names, width, place, parts)``."""
+    headers = measured(csv_folder_headers(lines, delimiter), "csv-headers")
+    return _with_layout(_kept_lines(lines, headers, delimiter), headers, delimiter)
+
+
 def csv_text_columns(rows: DataFrame) -> DataFrame:
     """Untyped form: every PSD column as text in a map, the trailing sample fields as a text array."""
     fields = F.transform(
@@ -151,12 +167,53 @@ def parse_listmode_csv(lines: DataFrame, delimiter: str = DELIMITER, gapless: bo
     ``gapless=False`` takes the line number as ``record_idx``: still a key for joining waveforms, but
     without the shuffle that closing the gaps of header and dropped lines costs.
     """
-    rows = listmode_csv_rows(lines, delimiter)
+    headers = measured(csv_folder_headers(lines, delimiter), "csv-headers")
+    kept = _kept_lines(lines, headers, delimiter)
     if gapless:
-        rows = with_record_idx(rows)
+        # Number the bare text: what the shuffle carries is the line and its place.
+        kept = with_record_idx(kept)
     else:
-        rows = rows.withColumn("record_idx", F.col("line_no"))
-    return typed_listmode(rows)
+        kept = kept.withColumn("record_idx", F.col("line_no"))
+    return typed_listmode(_with_layout(kept, headers, delimiter))
+
+
+def read_listmode_csv(spark: SparkSession, path, delimiter: str = DELIMITER,
+                      glob: str = CSV_GLOB) -> DataFrame:
+    """``listmode`` rows of the delimited files below ``path``, numbered without shuffling them.
+
+    Same rows as ``parse_listmode_csv(read_lines(...))``. Kept lines are numbered where they are read: a
+    counting pass finds how many each file block keeps, and a line's index is its block's running sum plus
+    its place among the lines the block keeps. Only the unnumbered files are read for headers.
+    """
+    unnumbered = fx.is_unnumbered(F.col("_metadata.file_name"))
+    head_lines = read_lines(spark, path, glob, files=unnumbered).where(F.col("line_no") <= 1)
+    headers, small = measure(csv_folder_headers(head_lines, delimiter), "csv-headers")
+    if not small:
+        # Joining the headers would reorder the lines before they are numbered.
+        return parse_listmode_csv(read_lines(spark, path, glob), delimiter)
+    # Lines look their folder up by its encoded path; decoding is left to the small tables.
+    by_url = headers.withColumn("folder", fx.encode_file_url(F.col("folder")))
+    rows = text_rows(spark, path, glob).withColumn("folder", fx.folder_of(F.col("url")))
+    kept = _fits(by_url, rows, delimiter).withColumn("kept_id", F.monotonically_increasing_id())
+
+    # A header line that passes the rule is the first kept line of its file's first block.
+    tops = head_lines.where(F.col("line_no") == 0).withColumn("folder", fx.folder_of(F.col("source_file")))
+    tops = _fits(headers, tops, delimiter).select("source_file", F.lit(1).alias("top"))
+    blocks = (
+        block_starts(kept, "kept_id").withColumn("source_file", fx.decode_file_url(F.col("url")))
+        .join(tops, "source_file", "left")
+        .withColumn("top", F.when(F.col("block") == 0, F.coalesce("top", F.lit(0))).otherwise(F.lit(0)))
+        .withColumn("n_data", F.col("n") - F.col("top"))
+    )
+    blocks = rows_before(blocks, "n_data").drop("n_data")
+    numbered = (
+        join_summary(kept, blocks, ["url", "block"], "left", "csv-counts")
+        .withColumn("place_in_data", place_in_block("kept_id") - F.col("top"))
+        .where(F.col("place_in_data") >= 0)
+        .withColumn("record_idx", F.col("before") + F.col("place_in_data"))
+        .withColumn("parts", _pieces(F.col("value"), delimiter))
+    )
+    return typed_listmode(numbered)
 
 
 def with_channel_from_name(df: DataFrame) -> DataFrame:
@@ -203,7 +260,7 @@ def filter_sample_count(df: DataFrame, order: str = "raw_idx") -> DataFrame:
     """
     counted = df.withColumn("__n", F.size("samples"))
     expected = counted.groupBy("source_file").agg(F.min_by("__n", order).alias("__first_n"))
-    kept = counted.join(expected, "source_file").where(F.col("__n") == F.col("__first_n"))
+    kept = join_summary(counted, expected, ["source_file"], label="sample-counts").where(F.col("__n") == F.col("__first_n"))
     return with_record_idx(kept.drop("__n", "__first_n"), order=order)
 
 

@@ -194,7 +194,7 @@ def samples_wide(spark, sf_dir):
 
 # ---------------------------------------------------------------- list-mode delimited
 
-@query(_EVENTS + """, kept AS (
+_CSV_ROWS = _EVENTS + """, kept AS (
   SELECT *, event_type || '/UNFILTERED/SData_' || CAST(event_id // 4096 AS VARCHAR) || '.csv' AS source_file
   FROM e WHERE NOT k > 90)
 SELECT event_type AS experiment_id, source_file,
@@ -205,13 +205,26 @@ SELECT event_type AS experiment_id, source_file,
 FROM kept
 UNION ALL
 SELECT DISTINCT event_type, event_type || '/UNFILTERED/SData.csv', 0, 0, '0', 1, 1, 0 FROM e
-""")
-def listmode_csv(spark, sf_dir):
-    rows = lm.parse_listmode_csv(si.csv_lines(spark, sf_dir))
+"""
+
+
+def _csv_columns(rows: DataFrame) -> DataFrame:
     return rows.select(
-        "experiment_id", "source_file", "record_idx", F.col("CHANNEL").cast("bigint").alias("channel"),
-        F.col("TIMESTAMP").cast("string").alias("stamp"), F.col("ENERGY").cast("bigint").alias("energy"),
-        F.col("ENERGYSHORT").cast("bigint").alias("energy_short"), F.col("FLAGS").alias("flags"))
+        "experiment_id", F.substring_index("source_file", "/", -3).alias("source_file"), "record_idx",
+        F.col("CHANNEL").cast("bigint").alias("channel"), F.col("TIMESTAMP").cast("string").alias("stamp"),
+        F.col("ENERGY").cast("bigint").alias("energy"), F.col("ENERGYSHORT").cast("bigint").alias("energy_short"),
+        F.col("FLAGS").alias("flags"))
+
+
+@query(_CSV_ROWS)
+def listmode_csv(spark, sf_dir):
+    return _csv_columns(lm.parse_listmode_csv(si.csv_lines(spark, sf_dir)))
+
+
+@query(_CSV_ROWS)
+def listmode_csv_scan(spark, sf_dir):
+    """The same rows read from files, numbered where they are read."""
+    return _csv_columns(lm.read_listmode_csv(spark, si.csv_files(spark, sf_dir)))
 
 
 @query(_EVENTS + """
@@ -219,8 +232,6 @@ SELECT event_id, CAST(user_id % 4 AS VARCHAR) AS channel_text,
        CASE WHEN k <> 50 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS energy_text,
        CASE WHEN k >= 10 THEN '0x4000' END AS flags_text
 FROM e WHERE NOT k > 90
-UNION ALL
-SELECT DISTINCT 1, '0', '1', '0x0' || left(event_type, 0) FROM e WHERE FALSE
 """)
 def listmode_csv_text(spark, sf_dir):
     """The untyped columns: text as it stands, missing spellings as null."""

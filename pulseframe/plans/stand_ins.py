@@ -162,6 +162,21 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_header_file(data, CSV_HEADER, "0;0;0;1;1;0x0")
 
 
+def csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """``csv_lines`` as files, each written by one task from its bounded id range."""
+    ship_package(spark)
+    root = scratch_path(spark, "events-csv")
+
+    def write(frame: pd.DataFrame) -> pd.DataFrame:
+        ordered = frame.sort_values("line_no")
+        _write_file(f"{root}/{ordered['source_file'].iloc[0]}", ("\n".join(ordered["value"]) + "\n").encode())
+        return pd.DataFrame({"n": [len(ordered)]})
+
+    csv_lines(spark, sf_dir).groupBy("source_file").applyInPandas(write, "n BIGINT").write.format(
+        "noop").mode("overwrite").save()
+    return root
+
+
 def csv_sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delimited lines with 64 trailing samples; 8 only for label 7, one too many for label 3."""
     w = waveforms(spark, sf_dir)

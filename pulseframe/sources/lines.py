@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions import scalars as fx
+from pulseframe.operators.joins import join_summary
 
 DECODERS = {
     "utf-8": lambda value: value,
@@ -14,45 +15,72 @@ DECODERS = {
 }
 
 
-def read_lines(spark: SparkSession, path, glob: str | None = None, encoding: str = "utf-8") -> DataFrame:
-    """Lines of every text file below ``path``; ``line_no`` counts from 0 over the whole file.
+def text_rows(spark: SparkSession, path, glob: str | None = None, files: Column | None = None) -> DataFrame:
+    """``(url, block, value)`` of every line, in reading order; ``url`` is the file's encoded path.
 
-    Large files stay split. A first pass counts the lines of each file block (one small row a block);
-    the running sum of those counts places every block. Within a block, rows keep the reading order,
-    so the distance to the block's smallest row id is the line's place in the block.
+    ``files`` is a condition on ``_metadata`` columns; files that fail it are not opened.
     """
-    if encoding not in DECODERS:
-        raise ValueError(f"unknown encoding {encoding!r}: use one of {sorted(DECODERS)}")
+    _pin_file_splits(spark)
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    rows = reader.text(path).select(
-        F.col("_metadata.file_path").alias("url"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row_id"),
-        "value",
-    )
+    rows = reader.text(path)
+    if files is not None:
+        rows = rows.where(files)
+    return rows.select(
+        F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def block_starts(rows: DataFrame, id_column: str) -> DataFrame:
+    """``(url, block, first_id, n)`` of numbered rows: one small row a file block."""
+    return rows.groupBy("url", "block").agg(
+        F.min(id_column).alias("first_id"), F.count(F.lit(1)).alias("n"))
+
+
+def rows_before(blocks: DataFrame, size: str = "n") -> DataFrame:
+    """Add ``before``: how many rows the earlier blocks of the file hold."""
     earlier = (
         Window.partitionBy("url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     )
-    blocks = (
-        rows.groupBy("url", "block")
-        .agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    )
-    within = F.col("row_id") - F.col("first_id")
-    # Both passes must have cut the files alike; stop rather than number lines wrongly.
-    placed = F.when(within.between(0, F.col("n") - 1), F.col("before") + within).otherwise(
+    return blocks.withColumn("before", F.coalesce(F.sum(size).over(earlier), F.lit(0)))
+
+
+def place_in_block(id_column: str) -> Column:
+    """Row's place in its block. Both passes must have cut the files alike: stop rather than misnumber."""
+    within = F.col(id_column) - F.col("first_id")
+    return F.when(within.between(0, F.col("n") - 1), within).otherwise(
         F.raise_error(F.lit("file splits changed between the two passes; pin spark.sql.files.minPartitionNum"))
-        .cast("bigint")
-    )
-    return rows.join(blocks, ["url", "block"], "left").select(
-        fx.decode_file_url(F.col("url")).alias("source_file"),
-        placed.alias("line_no"),
+        .cast("bigint"))
+
+
+def read_lines(spark: SparkSession, path, glob: str | None = None, encoding: str = "utf-8",
+               files: Column | None = None) -> DataFrame:
+    """Lines of every text file below ``path``; ``line_no`` counts from 0 over the whole file.
+
+    Large files stay split. A first pass, run when this is called, counts the lines of each file block
+    (one small row a block); the running sum of those counts places every block. Within a block, rows
+    keep the reading order, so the distance to the block's smallest row id is the line's place in it.
+    """
+    if encoding not in DECODERS:
+        raise ValueError(f"unknown encoding {encoding!r}: use one of {sorted(DECODERS)}")
+    rows = text_rows(spark, path, glob, files).withColumn("row_id", F.monotonically_increasing_id())
+    # The path is decoded once a block, not once a line.
+    blocks = rows_before(block_starts(rows, "row_id")).withColumn(
+        "source_file", fx.decode_file_url(F.col("url")))
+    return join_summary(rows, blocks, ["url", "block"], "left", "line-counts").select(
+        "source_file",
+        (F.col("before") + place_in_block("row_id")).alias("line_no"),
         DECODERS[encoding](F.col("value")).alias("value"),
     )
 
 
+def _pin_file_splits(spark: SparkSession) -> None:
+    """Fix what Spark derives file splits from, so that executors joining later do not move them."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
 def read_values(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
     """Plain lines with their file, for operators that do not need line numbers."""
     reader = spark.read.option("recursiveFileLookup", "true")

@@ -77,6 +77,39 @@ def test_csv_folder(spark, lines):
     assert sorted(r["record_idx"] for r in by_line) == [0, 1, 2, 2, 3]
 
 
+def test_csv_files_match_parsed_lines(spark, tmp_path):
+    """Numbering where lines are read gives what numbering after a shuffle gives, for any file split."""
+    head = "BOARD;CHANNEL;TIMETAG;ENERGY;FLAGS;SAMPLES"
+
+    def body(start, count):
+        out = []
+        for i in range(start, start + count):
+            line = f"0;1;{i};{i % 9};0x1;1;2;3"
+            out.append(line + ";9" if i % 7 == 3 else "" if i % 11 == 5 else line[:-2] if i % 5 == 1 else line)
+        return out
+
+    files = {
+        "a b/UNFILTERED/SData.csv": [head, "0;1;5;5;5;1;2;3"] + body(0, 2000),
+        "a b/UNFILTERED/SData_1.csv": body(5000, 3000), "a b/UNFILTERED/SData_2.CSV": ["", "0;1;1;1;1;1;1;1;1;1"],
+        "c/Data_CH0@x.csv": ["CHANNEL;ENERGY", "1;2"] + ["3;4"] * 500, "c/Data_CH1@x.csv": ["too;long;header", "5;6"],
+    }
+    for name, texts in files.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("\n".join(texts) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    columns = ["source_file", "record_idx", "TIMESTAMP", "CHANNEL", "ENERGY", "FLAGS", "samples", "experiment_id"]
+    try:
+        for size in ("6000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = sorted(map(str, lm.read_listmode_csv(spark, str(tmp_path)).select(*columns).collect()))
+            want = sorted(map(str, lm.parse_listmode_csv(
+                read_lines(spark, str(tmp_path), "*.[cC][sS][vV]")).select(*columns).collect()))
+            assert got == want and len(got) > 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_csv_without_samples_and_without_header(spark, lines):
     table = lines({"f/SData.csv": ["CHANNEL;ENERGY", "1;2", "1;2;3"], "f/SData_1.csv": ["3;4"]})
     got = sorted((r["CHANNEL"], r["ENERGY"], r["samples"]) for r in lm.parse_listmode_csv(table).collect())
