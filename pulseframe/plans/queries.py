@@ -883,10 +883,10 @@ def log_tail(spark, sf_dir):
 
 @query(_BIN_ROWS + _BIN_SELECT)
 def continuous_conversion_run(spark, sf_dir):
-    """Binary files converted as they land, two files a batch."""
+    """Binary files converted as they land, sixteen files a batch."""
     folder, out = si.event_bin_files(spark, sf_dir), scratch_path(spark, "converted")
     running = continuous_conversion(
-        spark, folder, out, f"{out}-checkpoint", files_per_trigger=8
+        spark, folder, out, f"{out}-checkpoint", files_per_trigger=16
     ).trigger(availableNow=True).start()
     running.awaitTermination()
     return _bin_columns(converted_so_far(spark, out))
