@@ -15,6 +15,7 @@ from pulseframe.operators import reactor as rx
 from pulseframe.operators import spectra
 from pulseframe.plans import stand_ins as si
 from pulseframe.plans.analysis import plan_analyses, plan_processing
+from pulseframe.plans.inventory_view import current_inventory
 from pulseframe.session import scratch_path
 from pulseframe.sources import listmode_bin as lb
 from pulseframe.sources.files import list_files
@@ -90,7 +91,7 @@ def listmode_bin_format(spark, sf_dir):
 
 
 @query(_BIN_ROWS + """
-SELECT channel, board, count(*) AS n, sum(energy) AS energy, max(record_idx) AS last_idx
+SELECT channel, board, count(*) AS n, CAST(sum(energy) AS BIGINT) AS energy, max(record_idx) AS last_idx
 FROM r GROUP BY channel, board
 """)
 def listmode_rates(spark, sf_dir):
@@ -102,8 +103,8 @@ def listmode_rates(spark, sf_dir):
 
 @query(_EVENTS + """
 SELECT 'SData_' || CAST(event_id // 4096 AS VARCHAR) || '.bin' AS file_name, 2 + 28 * count(*) AS length,
-       51943 AS header, TRUE AS valid, TRUE AS has_energy, TRUE AS has_calib_energy, TRUE AS has_energy_short,
-       FALSE AS has_waveform, 28 AS record_length
+       CAST(51943 AS BIGINT) AS header, TRUE AS valid, TRUE AS has_energy, TRUE AS has_calib_energy, TRUE AS has_energy_short,
+       FALSE AS has_waveform, CAST(28 AS BIGINT) AS record_length
 FROM e GROUP BY event_id // 4096
 """)
 def listmode_headers(spark, sf_dir):
@@ -201,7 +202,7 @@ SELECT event_type AS experiment_id, source_file,
        row_number() OVER (PARTITION BY source_file ORDER BY event_id) - 1 AS record_idx,
        user_id % 4 AS channel, CAST(event_id AS VARCHAR) AS stamp,
        CASE WHEN k <> 50 THEN CAST(floor(value) AS BIGINT) END AS energy, CAST(k AS BIGINT) AS energy_short,
-       CASE WHEN k >= 10 THEN 16384 END AS flags
+       CASE WHEN k >= 10 THEN CAST(16384 AS BIGINT) END AS flags
 FROM kept
 UNION ALL
 SELECT DISTINCT event_type, event_type || '/UNFILTERED/SData.csv', 0, 0, '0', 1, 1, 0 FROM e
@@ -246,7 +247,7 @@ def listmode_csv_text(spark, sf_dir):
   SELECT *, 'wave/UNFILTERED/SData_' || CAST(file_no AS VARCHAR) || '.csv' AS source_file
   FROM c WHERE label <> 3)
 SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY vec_id) - 1 AS record_idx,
-       CAST(vec_id AS VARCHAR) AS stamp, 64 AS n, len(samples) AS n_given, samples[1] AS first_sample,
+       CAST(vec_id AS VARCHAR) AS stamp, CAST(64 AS BIGINT) AS n, len(samples) AS n_given, samples[1] AS first_sample,
        samples[64] AS last_sample, CAST(list_sum(samples) AS BIGINT) AS total
 FROM f
 UNION ALL
@@ -383,7 +384,7 @@ l AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, device_param, seq
 
 
 @query(_REACTOR + """
-SELECT experiment_id, device_param, seq, line_no, stamp, value, CASE WHEN seq % 2 = 1 THEN k END AS k,
+SELECT experiment_id, device_param, seq, line_no, stamp, value, CASE WHEN seq % 2 = 1 THEN CAST(k AS BIGINT) END AS k,
        row_number() OVER (PARTITION BY experiment_id, device_param ORDER BY stamp, seq, line_no) - 1 AS row_idx
 FROM l
 """)
@@ -597,6 +598,19 @@ def processing_validity(spark, sf_dir):
         "id", "processed_mtime", "processed_state")
 
 
+@query("""
+SELECT 'ID-' || CAST(s_suppkey AS VARCHAR) AS id, 'present' AS unconverted_state,
+       CASE WHEN s_nationkey >= 15 THEN 'absent' WHEN s_acctbal < 0 THEN 'malformed' ELSE 'present' END AS converted_state,
+       CASE WHEN s_nationkey >= 8 THEN 'absent' WHEN s_acctbal < 0 THEN 'malformed' ELSE 'present' END AS processed_state
+FROM supplier
+""")
+def inventory_from_folders(spark, sf_dir):
+    """Listing, conversion logs and manifest read from folders on storage."""
+    root = si.experiment_folders(spark, sf_dir)
+    rows = current_inventory(spark, f"{root}/unconverted", f"{root}/converted", f"{root}/processed")
+    return rows.select("id", "unconverted_state", "converted_state", "processed_state")
+
+
 _OVERRIDES = """,
 ov AS (
   SELECT n_nationkey AS seq, 'ID-' || CAST(n_nationkey AS VARCHAR) || '[0-9][0-9]' AS pattern,
@@ -667,8 +681,8 @@ SELECT CAST(min(rank) AS BIGINT) AS seq, 'ID-' || CAST(l_orderkey AS VARCHAR) AS
   CASE WHEN count(*) FILTER (l_returnflag <> 'N') > 0 THEN 'present' ELSE 'absent' END AS unconverted_state,
   coalesce(arg_max(l_extendedprice, rank) FILTER (l_linestatus = 'F'), -1.0) AS converted_mtime,
   CASE WHEN count(*) FILTER (l_linestatus = 'F') > 0 THEN 'present' ELSE 'absent' END AS converted_state,
-  CASE WHEN arg_max(l_returnflag, rank) FILTER (l_returnflag <> 'N') = 'A' THEN NULL ELSE -1.0 END
-    AS processed_mtime,
+  CASE WHEN arg_max(l_returnflag, rank) FILTER (l_returnflag <> 'N') = 'A' THEN NULL
+    ELSE CAST(-1.0 AS DOUBLE) END AS processed_mtime,
   CASE WHEN arg_max(l_returnflag, rank) FILTER (l_returnflag <> 'N') = 'A' THEN 'malformed' ELSE 'absent' END
     AS processed_state
 FROM (SELECT *, l_linenumber * 100000000000000 + l_partkey * 1000000 + l_suppkey AS rank FROM lineitem)

@@ -494,3 +494,29 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.to_json(F.struct(text.alias("text"), record.alias("record")))
     return e.select(F.when(F.col("k") < 5, F.lit("Traceback (most recent call last):"))
                     .otherwise(line).alias("value"))
+
+
+SUPPLIERS_PER_TASK = 500
+
+
+def experiment_folders(spark: SparkSession, sf_dir: str) -> str:
+    """Three stage roots with a folder a supplier: all unconverted, nations below 15 converted (with an
+    error in the log when in debt), nations below 8 processed (without a csv when in debt)."""
+    ship_package(spark)
+    root = scratch_path(spark, "experiments")
+    rows = table(spark, sf_dir, "supplier").select(
+        F.floor(F.col("s_suppkey") / SUPPLIERS_PER_TASK).alias("task"), "s_suppkey", "s_nationkey", "s_acctbal")
+
+    def write(frame: pd.DataFrame) -> pd.DataFrame:
+        for key, nation, balance in zip(frame["s_suppkey"], frame["s_nationkey"], frame["s_acctbal"]):
+            name, in_debt = f"ID-{key}", balance < 0
+            _write_file(f"{root}/unconverted/{name}/UNFILTERED/SData.bin", b"x")
+            if nation < 15:
+                text = f"start\nConversion of {name} complete\n" + ("ERROR late\n" if in_debt else "")
+                _write_file(f"{root}/converted/{name}/conversion.log", text.encode())
+            if nation < 8:
+                _write_file(f"{root}/processed/{name}/" + ("plot.png" if in_debt else "output.csv"), b"x")
+        return pd.DataFrame({"n": [len(frame)]})
+
+    rows.groupBy("task").applyInPandas(write, "n BIGINT").write.format("noop").mode("overwrite").save()
+    return root
