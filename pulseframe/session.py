@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _shipped: dict[str, str] = {}
+_own_folders: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -25,10 +26,10 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="pulseframe-")
-    context.setCheckpointDir(own)
-    spark.conf.set(_CHECKPOINT_KEY, own)
-    return own
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="pulseframe-")
+        context.setCheckpointDir(_own_folders[context.applicationId])
+    return _own_folders[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
