@@ -1,0 +1,45 @@
+"""The pipeline's stages against plain versions of their decisions."""
+
+import numpy as np
+
+import brute
+import corpus_pipeline
+from pulseframe.llm import queries
+from pulseframe.llm.qda_quality import quality_scores
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = docs.columns
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scores = {r.doc_id: r.predicted for r in quality_scores(docs, labels).collect()}
+    last = None
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.collect()
+        path = str(tmp_path / str(number))
+        stage(spark, docs, SF).write.parquet(path)
+        docs = spark.read.parquet(path)
+        after = docs.collect()
+        rows = [(r.doc_id, r.text) for r in before]
+        if name != "token_ids":
+            assert docs.columns == names
+        if name == "quality_classifier":
+            assert {r.doc_id for r in after} == {d for d, _ in rows if scores[d]}
+        elif name == "near_duplicates":
+            classes = brute.shingle_components(rows)
+            assert {r.doc_id for r in after} == {c if n else d for (d, _), (n, c) in zip(rows, classes)}
+        elif name == "benchmark_decontamination":
+            assert {r.doc_id for r in after} == {d for (d, _), c in zip(rows, brute.contamination(rows, items)) if not c[-1]}
+        elif name == "source_mixing":
+            assert {(r.doc_id, r.text) for r in after} <= set(rows)
+        else:
+            last = after
+            assert sorted(r.doc_id for r in after) == sorted(d for d, _ in rows)
+            assert sorted(r.start for r in after)[1:] == np.cumsum(
+                [r.n_tokens for r in sorted(after, key=lambda r: r.start)])[:-1].tolist()
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, last))
+    assert queries.TARGETS and corpus_pipeline.ORACLE_SQL is None
