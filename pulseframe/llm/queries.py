@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm import decontamination, license_scan, llr_quality, mixing, personal_data, qda_quality
 from pulseframe.llm import shingle_join, substring_dedup, token_counts, token_output
-from pulseframe.llm.run import table
+from pulseframe.llm.run import table, with_ids
 
 END_ID = 2
 #: Shares of the expected tokens by label: clean prose first, little of what is marked toxic or poor.
@@ -27,7 +27,7 @@ def op1_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted texts are the documents labelled as good."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
-    return llr_quality.llr_quality(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    return llr_quality.llr_quality(docs, with_ids(docs.select("doc_id", "text"), good, "doc_id"))
 
 
 def op2_qda_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

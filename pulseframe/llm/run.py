@@ -165,3 +165,24 @@ def _bit_places(values: np.ndarray, bits: int) -> np.ndarray:
 def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     place = _bit_places(values, int(len(bitmap)).bit_length() - 1 + 6)
     return (bitmap[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def thin(df: DataFrame, bitmap: np.ndarray, name: str) -> DataFrame:
+    """The rows of ``df`` whose long column ``name`` may be in the bitmap (nulls are not)."""
+    held = df.sparkSession.sparkContext.broadcast(bitmap)
+    names = df.columns
+    place = names.index(name)
+
+    def pick(batches):
+        for batch in batches:
+            values = batch.column(place).cast(pa.int64())
+            keep = in_bitmap(held.value, values.fill_null(0).to_numpy(zero_copy_only=False))
+            keep &= values.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names=names)
+
+    return df.mapInArrow(pick, df.schema)
+
+
+def with_ids(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` whose ``name`` is among ``ids`` (one long column). Only rows that pass a bitmap are shuffled."""
+    return thin(df, fresh_bitmap(ids, name), name).join(ids.hint("merge"), name, "left_semi")
