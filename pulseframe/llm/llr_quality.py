@@ -5,8 +5,8 @@ the trusted texts, one over the whole corpus, each with one added to every bucke
 its n-grams of log p(trusted) - log p(corpus), divided by its number of n-grams. A document is kept if no base rule
 fails it and its score is at least ``THRESHOLD``; the same input always gives the same verdict.
 
-Each task counts its own texts into one array and emits its non-zero buckets, so what is shuffled is bounded by
-tasks times buckets, and the driver gets ``2**BITS`` numbers a table, whatever the size of the corpus.
+Each task counts its own texts into one array and emits it in chunks, so what is shuffled is bounded by tasks times
+buckets, and the driver gets ``2**BITS`` numbers a table, whatever the size of the corpus.
 
 Cases: null and empty texts have no words and fail the base rule; texts shorter than an n-gram score 0; without any
 trusted text there is no verdict beyond the base rules; repeated rows count and are judged each; other columns are
@@ -16,6 +16,7 @@ not read.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ THRESHOLD = -0.25
 MIN_WORDS = 10
 REPEAT_WORDS = 5
 REPEAT_PERCENT = 20
+_CHUNK = 1024  # buckets that travel in one row
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _STARTS_CHARACTER = (np.arange(256) & 0xC0) != 0x80
 
@@ -57,15 +59,29 @@ def gram_counts(docs: DataFrame, text: str = "text", gram: int = GRAM, bits: int
         sums = np.zeros(1 << bits, np.int64)
         for block in blocks(batches, "text"):
             sums += np.bincount(gram_buckets(block, gram, bits)[0], minlength=1 << bits)
-        some = np.flatnonzero(sums)
-        yield {"bucket": some, "n": sums[some]}
+        if sums.any():
+            yield _chunks(sums.reshape(-1, min(_CHUNK, 1 << bits)))
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, values in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held[chunk] = held.get(chunk, 0) + values.values.to_numpy()
+        for chunk, values in held.items():
+            yield {"chunk": [chunk], "counts": pa.array([values])}
 
     picked = docs.select(F.col(quoted(text)).cast("string").alias("text"))
-    found = stream(picked, count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(1 << bits, np.int64)
-    for row in found.collect():  # one row a bucket
-        out[row.bucket] = row.n
-    return out
+    schema = "chunk int, counts array<long>"
+    found = stream(stream(picked, count, schema).repartition(8, "chunk"), add, schema).toArrow()  # one row a chunk
+    out = np.zeros((max(1, (1 << bits) // _CHUNK), min(_CHUNK, 1 << bits)), np.int64)
+    for chunk, values in zip(found["chunk"].to_pylist(), found["counts"]):
+        out[chunk] = values.values.to_numpy()
+    return out.ravel()
+
+
+def _chunks(rows: np.ndarray) -> dict:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+    return {"chunk": np.arange(len(rows)), "counts": lists}
 
 
 def log_ratio(trusted: np.ndarray, corpus: np.ndarray) -> np.ndarray:

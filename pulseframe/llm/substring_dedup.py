@@ -8,13 +8,16 @@ The index of reference blocks is distributed and holds blocks of ``ANCHOR`` word
 of ``WINDOW`` words has one anchor, its block with the smallest hash, and equal windows have equal anchors at equal
 places. So
 
-1. anchors that occur once are dropped, and with them most of the text;
-2. documents with shared anchors emit their windows around these, each under its hash; sorted by hash and place, the
-   first is the reference of all that follow (a second, independent hash is compared at every window, hence at both
-   ends of each factor);
-3. each document's referenced windows are parsed greedily into factors, which are cut from its words.
-
-Texts are shuffled only for documents with shared anchors (step 2) and for those that lose words (step 3). A passage
+1. long pieces are settled first: whole documents, and pieces cut where the words themselves say so (a block hash
+   with ``CUT_BITS`` low zeros). Of equal pieces all but the first are repeats, and so is every window inside them; no
+   such window is the first of its kind, so none needs to be looked at again;
+2. anchors that occur once are dropped, and with them most of the text;
+3. documents with shared anchors emit their other windows around these, each under its hash; sorted by hash and
+   place, the first is the reference of all that follow (a second, independent hash is compared for every piece and
+   window, hence at both ends of each factor);
+4. each document's referenced pieces and windows are parsed greedily into factors, which are cut from its words.
+
+Texts are shuffled only for documents with shared anchors (step 3) and for those that lose words (step 4). A passage
 that many documents share never forms a group in memory: its windows stream past the first one, and repeats within a
 task's block are settled there.
 
@@ -38,6 +41,7 @@ from pulseframe.session import materialize
 
 WINDOW = 20
 ANCHOR = 6
+CUT_BITS = 7
 _NULL_ID = -(1 << 63)
 
 
@@ -101,15 +105,36 @@ def _shared_anchors(batches):
         yield {"doc": waiting[2], "place": waiting[3]}
 
 
+_PLACED = "key long, check int, doc long, start int, length int, ref long, ref_start int"
+_FOUND = "doc long, start int, length int, ref long, ref_start int"
+_OPEN = -2  # as ref_start: not settled within the block; a whole document has start -1
+
+
+def _placed(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, start: np.ndarray) -> dict:
+    """Rows of pieces or windows; repeats within the block are settled here and go anywhere."""
+    key = hash_runs(hashes, begin, end)
+    key[start < 0] ^= np.uint64(0xA0761D6478BD642F)  # whole documents meet whole documents only
+    check = (hash_runs(hashes, begin, end, 1) >> np.uint64(44)).astype(np.int64)
+    order = np.lexsort((start, doc, check, key))
+    key, check, doc, start, length = (v[order] for v in (key, check, doc, start, end - begin))
+    head = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))[:len(key)]
+    index = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
+    ref, ref_start = doc[index], start[index]
+    settled = (doc != ref) | (start != ref_start)
+    spread = mix(doc.view(np.uint64) + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return {"key": np.where(settled, spread, key).view(np.int64), "check": check, "doc": doc, "start": start,
+            "length": length, "ref": np.where(settled, ref, 0), "ref_start": np.where(settled, ref_start, _OPEN)}
+
+
 def _first_places(batches):
-    """Windows with an earlier occurrence, and that occurrence; batches are sorted by window and place."""
+    """Pieces or windows with an earlier occurrence, and that occurrence; rows are sorted by hashes and place."""
     first = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, check, doc, start, ref, ref_start = (
-            column(batch, c) for c in ("key", "check", "doc", "start", "ref", "ref_start"))
-        known = ref_start >= 0
+        key, check, doc, start, length, ref, ref_start = (
+            column(batch, c) for c in ("key", "check", "doc", "start", "length", "ref", "ref_start"))
+        known = ref_start != _OPEN
         head = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))
         if first is not None and key[0] == first[0] and check[0] == first[1]:
             head[0] = False
@@ -120,31 +145,59 @@ def _first_places(batches):
             before = index < 0
             origin, origin_start = np.where(before, first[2], origin), np.where(before, first[3], origin_start)
         first = (key[-1], check[-1], origin[-1], origin_start[-1])
-        later = ~known & ((doc != origin) | (start != origin_start))
-        send = known | later
-        yield {"doc": doc[send], "start": start[send], "ref": np.where(known, ref, origin)[send],
-               "ref_start": np.where(known, ref_start, origin_start)[send]}
+        send = known | (doc != origin) | (start != origin_start)
+        yield {"doc": doc[send], "start": start[send], "length": length[send],
+               "ref": np.where(known, ref, origin)[send], "ref_start": np.where(known, ref_start, origin_start)[send]}
 
 
-def factors(start: np.ndarray, ref: np.ndarray, ref_start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy parse of one document: order of the windows, the first of each factor, and the factors' words."""
-    order = np.argsort(start, kind="stable")
-    start, ref, ref_start = start[order], ref[order], ref_start[order]
-    cut = np.ones(len(start), dtype=bool)
-    cut[1:] = (start[1:] != start[:-1] + 1) | (ref[1:] != ref[:-1]) | (ref_start[1:] != ref_start[:-1] + 1)
-    head = np.flatnonzero(cut)
-    return order, head, np.diff(np.append(head, len(start))) + window - 1
+def _settle(rows: DataFrame, width: int) -> DataFrame:
+    return stream(rows.repartition(width, "key").sortWithinPartitions("key", "check", "doc", "start"), _first_places, _FOUND)
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
-                     anchor: int = ANCHOR) -> DataFrame:
-    """``doc`` and ``windows``: all its windows with an earlier occurrence, as (start, ref, ref_start)."""
+def _pieces(block: Block, key: pa.Array, window: int, anchor: int) -> dict:
+    """Whole documents and their pieces, those of at least a window."""
+    words = Words(block)
+    hashes = words.hashes()
+    total = len(words)
+    count = max(0, total - anchor + 1)
+    runs = hash_runs(hashes, np.arange(count), np.arange(count) + anchor)
+    begins = np.unique(np.append(np.flatnonzero((runs & np.uint64((1 << CUT_BITS) - 1)) == 0), words.first[:-1]))
+    begins = begins[begins < total]
+    ends = np.append(begins[1:], total)
+    doc = words.doc()[begins]
+    start = begins - words.first[doc]
+    whole = np.flatnonzero(words.counts() >= window)
+    long = ends - begins >= window
+    begin, end = np.append(begins[long], words.first[whole]), np.append(ends[long], words.first[whole + 1])
+    owner = np.append(doc[long], whole)
+    return _placed(hashes, begin, end, _ids(key)[owner], np.append(start[long], np.full(len(whole), -1)))
+
+
+def count_factors(start: np.ndarray, length: np.ndarray, ref: np.ndarray, ref_start: np.ndarray, window: int) -> int:
+    """Factors of one document: neighbouring pieces and windows along the same source are one."""
+    order = np.lexsort((start, ref_start - start, ref))
+    start, length, ref, ref_start = (v[order] for v in (start, length, ref, ref_start))
+    reach = np.maximum.accumulate(start + length)
+    cut = (ref[1:] != ref[:-1]) | (ref_start[1:] - start[1:] != ref_start[:-1] - start[:-1]) | (
+        start[1:] > reach[:-1] - window + 1)
+    return int(cut.sum()) + 1 if len(start) else 0
+
+
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
+                   anchor: int = ANCHOR) -> DataFrame:
+    """``doc`` and ``spans``: its pieces and windows with an earlier occurrence, as (start, length, ref, ref_start)."""
     spark = ready(docs)
     width = partitions(spark)
+    pieces = materialize(_settle(emit_rows(docs, lambda block, key: _pieces(block, key, window, anchor), _PLACED,
+                                           doc_id, text), width), "repeated-pieces")
+    whole = pieces.filter("start < 0").select("doc").distinct()
+    settled = (pieces.filter("start >= 0").groupBy("doc")
+               .agg(F.collect_list(F.struct("start", "length")).alias("settled")))
     anchors = emit_rows(docs, lambda block, key: _anchors(block, key, window, anchor),
                         "key long, known boolean, doc long, place int", doc_id, text)
     shared = stream(anchors.repartition(width, "key").sortWithinPartitions("key"), _shared_anchors, "doc long, place int")
-    by_doc = shared.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    by_doc = materialize(shared.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places"))
+                         .join(whole, "doc", "left_anti").join(settled, "doc", "left"), "shared-anchors")
     near = by_doc.join(_thinned(docs, fresh_bitmap(by_doc, "doc"), doc_id, text), "doc")
 
     def windows(block: Block) -> dict:
@@ -157,24 +210,184 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         spot = places.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], many)
         chosen[spot[spot < len(words)]] = True
         starts = starts[chosen[at]]
-        key = hash_runs(hashes, starts, starts + window)
-        check = (hash_runs(hashes, starts, starts + window, 1) >> np.uint64(33)).astype(np.int64)
+        lists = block.rows.column(2)
+        many = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        inside = lists.flatten()
+        low = inside.field(0).to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], many)
+        length = inside.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fits = low + length <= np.repeat(words.first[1:], many)
+        # windows that lie whole in a settled piece
+        starts = starts[~covered(low[fits], length[fits] - window + 1, len(words))[starts]]
         text_of = words.doc()[starts]
-        doc, start = _ids(block.rows.column(0))[text_of], starts - words.first[text_of]
-        order = np.lexsort((start, doc, check, key))
-        key, check, doc, start = key[order], check[order], doc[order], start[order]
-        head = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))[:len(key)]
-        index = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0)) if len(key) else np.zeros(0, int)
-        ref, ref_start = doc[index], start[index]
-        settled = (doc != ref) | (start != ref_start)  # a repeat within the block
-        spread = mix(doc.view(np.uint64) + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return {"key": np.where(settled, spread, key).view(np.int64), "check": check, "doc": doc, "start": start,
-                "ref": ref, "ref_start": np.where(settled, ref_start, -1)}
-
-    rows = _emit_windows(near, windows)
-    found = stream(rows.repartition(width, "key").sortWithinPartitions("key", "check", "doc", "start"), _first_places,
-                   "doc long, start int, ref long, ref_start int")
-    return found.groupBy("doc").agg(F.collect_list(F.struct("start", "ref", "ref_start")).alias("windows"))
+        return _placed(hashes, starts, starts + window, _ids(block.rows.column(0))[text_of], starts - words.first[text_of])
+
+    def run(batches):
+        for block in blocks(batches, "__text"):
+            yield windows(block)
+
+    found = _settle(stream(near.select("doc", "places", "settled", "__text"), run, _PLACED), width)
+    return (pieces.union(found).groupBy("doc")
+            .agg(F.collect_list(F.struct("start", "length", "ref", "ref_start")).alias("spans")))
+
+
+def _thinned(docs: DataFrame, bitmap: np.ndarray, doc_id: str, text: str) -> DataFrame:
+    """``doc`` and text of the documents whose id may be among those wanted."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def pick(batches):
+        for batch in batches:
+            ids = _ids(batch.column(0))
+            keep = pa.array(in_bitmap(held.value, ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids).filter(keep), batch.column(1).filter(keep)],
+                                             names=["doc", "__text"])
+
+    picked = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc"), F.col(quoted(text)).cast("string").alias("__text"))
+    return picked.mapInArrow(pick, "doc long, __text string")
+
+
+def _shared_anchors(batches):
+    """Places of anchors that occur more than once; of neighbours with equal keys, each is sent once."""
+    waiting = None  # last row, not sent yet
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, known, doc, place = (column(batch, c) for c in ("key", "known", "doc", "place"))
+        if waiting is not None:
+            key, known = np.append(waiting[0], key), np.append(waiting[1], known)
+            doc, place = np.append(waiting[2], doc), np.append(waiting[3], place)
+        near = key[1:] == key[:-1]
+        send = np.append(False, near) | np.append(near, False) | known
+        if waiting is not None:
+            send[0] |= waiting[4]
+        waiting = (key[-1:], known[-1:], doc[-1:], place[-1:], bool(send[-1]))
+        yield {"doc": doc[:-1][send[:-1]], "place": place[:-1][send[:-1]]}
+    if waiting is not None and waiting[4]:
+        yield {"doc": waiting[2], "place": waiting[3]}
+
+
+_PLACED = "key long, check int, doc long, start int, length int, ref long, ref_start int"
+_FOUND = "doc long, start int, length int, ref long, ref_start int"
+_OPEN = -2  # as ref_start: not settled within the block; a whole document has start -1
+
+
+def _placed(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, start: np.ndarray) -> dict:
+    """Rows of pieces or windows; repeats within the block are settled here and go anywhere."""
+    key = hash_runs(hashes, begin, end)
+    key[start < 0] ^= np.uint64(0xA0761D6478BD642F)  # whole documents meet whole documents only
+    check = (hash_runs(hashes, begin, end, 1) >> np.uint64(44)).astype(np.int64)
+    order = np.lexsort((start, doc, check, key))
+    key, check, doc, start, length = (v[order] for v in (key, check, doc, start, end - begin))
+    head = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))[:len(key)]
+    index = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
+    ref, ref_start = doc[index], start[index]
+    settled = (doc != ref) | (start != ref_start)
+    spread = mix(doc.view(np.uint64) + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return {"key": np.where(settled, spread, key).view(np.int64), "check": check, "doc": doc, "start": start,
+            "length": length, "ref": np.where(settled, ref, 0), "ref_start": np.where(settled, ref_start, _OPEN)}
+
+
+def _first_places(batches):
+    """Pieces or windows with an earlier occurrence, and that occurrence; rows are sorted by hashes and place."""
+    first = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, check, doc, start, length, ref, ref_start = (
+            column(batch, c) for c in ("key", "check", "doc", "start", "length", "ref", "ref_start"))
+        known = ref_start != _OPEN
+        head = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))
+        if first is not None and key[0] == first[0] and check[0] == first[1]:
+            head[0] = False
+        index = np.maximum.accumulate(np.where(head, np.arange(len(key)), -1))
+        safe = np.maximum(index, 0)
+        origin, origin_start = doc[safe], start[safe]
+        if not head[0]:
+            before = index < 0
+            origin, origin_start = np.where(before, first[2], origin), np.where(before, first[3], origin_start)
+        first = (key[-1], check[-1], origin[-1], origin_start[-1])
+        send = known | (doc != origin) | (start != origin_start)
+        yield {"doc": doc[send], "start": start[send], "length": length[send],
+               "ref": np.where(known, ref, origin)[send], "ref_start": np.where(known, ref_start, origin_start)[send]}
+
+
+def _settle(rows: DataFrame, width: int) -> DataFrame:
+    return stream(rows.repartition(width, "key").sortWithinPartitions("key", "check", "doc", "start"), _first_places, _FOUND)
+
+
+def _pieces(block: Block, key: pa.Array, window: int, anchor: int) -> dict:
+    """Whole documents and their pieces, those of at least a window."""
+    words = Words(block)
+    hashes = words.hashes()
+    total = len(words)
+    count = max(0, total - anchor + 1)
+    runs = hash_runs(hashes, np.arange(count), np.arange(count) + anchor)
+    begins = np.unique(np.append(np.flatnonzero((runs & np.uint64((1 << CUT_BITS) - 1)) == 0), words.first[:-1]))
+    begins = begins[begins < total]
+    ends = np.append(begins[1:], total)
+    doc = words.doc()[begins]
+    start = begins - words.first[doc]
+    whole = np.flatnonzero(words.counts() >= window)
+    long = ends - begins >= window
+    begin, end = np.append(begins[long], words.first[whole]), np.append(ends[long], words.first[whole + 1])
+    owner = np.append(doc[long], whole)
+    return _placed(hashes, begin, end, _ids(key)[owner], np.append(start[long], np.full(len(whole), -1)))
+
+
+def count_factors(start: np.ndarray, length: np.ndarray, ref: np.ndarray, ref_start: np.ndarray, window: int) -> int:
+    """Factors of one document: neighbouring pieces and windows along the same source are one."""
+    order = np.lexsort((start, ref_start - start, ref))
+    start, length, ref, ref_start = (v[order] for v in (start, length, ref, ref_start))
+    reach = np.maximum.accumulate(start + length)
+    cut = (ref[1:] != ref[:-1]) | (ref_start[1:] - start[1:] != ref_start[:-1] - start[:-1]) | (
+        start[1:] > reach[:-1] - window + 1)
+    return int(cut.sum()) + 1 if len(start) else 0
+
+
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
+                   anchor: int = ANCHOR) -> DataFrame:
+    """``doc`` and ``spans``: its pieces and windows with an earlier occurrence, as (start, length, ref, ref_start)."""
+    spark = ready(docs)
+    width = partitions(spark)
+    pieces = materialize(_settle(emit_rows(docs, lambda block, key: _pieces(block, key, window, anchor), _PLACED,
+                                           doc_id, text), width), "repeated-pieces")
+    whole = pieces.filter("start < 0").select("doc").distinct()
+    settled = (pieces.filter("start >= 0").groupBy("doc")
+               .agg(F.collect_list(F.struct("start", "length")).alias("settled")))
+    anchors = emit_rows(docs, lambda block, key: _anchors(block, key, window, anchor),
+                        "key long, known boolean, doc long, place int", doc_id, text)
+    shared = stream(anchors.repartition(width, "key").sortWithinPartitions("key"), _shared_anchors, "doc long, place int")
+    by_doc = materialize(shared.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places"))
+                         .join(whole, "doc", "left_anti").join(settled, "doc", "left"), "shared-anchors")
+    near = by_doc.join(_thinned(docs, fresh_bitmap(by_doc, "doc"), doc_id, text), "doc")
+
+    def windows(block: Block) -> dict:
+        words = Words(block)
+        hashes = words.hashes()
+        starts, at, _ = window_anchors(words, hashes, window, anchor)
+        places = block.rows.column(1)
+        chosen = np.zeros(len(words) + 1, dtype=bool)
+        many = places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        spot = places.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], many)
+        chosen[spot[spot < len(words)]] = True
+        starts = starts[chosen[at]]
+        lists = block.rows.column(2)
+        many = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        inside = lists.flatten()
+        low = inside.field(0).to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], many)
+        length = inside.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fits = low + length <= np.repeat(words.first[1:], many)
+        # windows that lie whole in a settled piece
+        starts = starts[~covered(low[fits], length[fits] - window + 1, len(words))[starts]]
+        text_of = words.doc()[starts]
+        return _placed(hashes, starts, starts + window, _ids(block.rows.column(0))[text_of], starts - words.first[text_of])
+
+    def run(batches):
+        for block in blocks(batches, "__text"):
+            yield windows(block)
+
+    found = _settle(stream(near.select("doc", "places", "settled", "__text"), run, _PLACED), width)
+    return (pieces.union(found).groupBy("doc")
+            .agg(F.collect_list(F.struct("start", "length", "ref", "ref_start")).alias("spans")))
 
 
 def _thinned(docs: DataFrame, bitmap: np.ndarray, doc_id: str, text: str) -> DataFrame:
@@ -209,7 +422,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     anchor: int = ANCHOR) -> DataFrame:
     """Per document: ``n_words``, ``n_removed``, ``n_factors``, ``kept_sha256`` (kept words joined by one space)."""
     ready(docs)
-    repeated = materialize(repeated_windows(docs, doc_id, text, window, anchor), "repeated-windows")
+    repeated = materialize(repeated_spans(docs, doc_id, text, window, anchor), "repeated-spans")
 
     def whole(block: Block) -> dict:
         words = Words(block)
@@ -227,22 +440,21 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         words = Words(block)
         removed, parsed, digest = [], [], []
         for i, spans in enumerate(block.rows.column(1)):
-            values = spans.values
-            start, ref, ref_start = (values.field(n).to_numpy() for n in ("start", "ref", "ref_start"))
-            order, head, length = factors(start, ref, ref_start, window)
+            start, length, ref, ref_start = (
+                spans.values.field(n).to_numpy() for n in ("start", "length", "ref", "ref_start"))
+            start, ref_start = np.maximum(start, 0), np.maximum(ref_start, 0)
             total = int(words.first[i + 1] - words.first[i])
-            begin = start[order][head]
-            fits = begin + length <= total
-            gone = covered(begin[fits], length[fits], total)
+            fits = start + length <= total
+            gone = covered(start[fits], length[fits], total)
             removed.append(int(gone.sum()))
-            parsed.append(len(head))
+            parsed.append(count_factors(start, length, ref, ref_start, window))
             keep = np.ones(len(words), dtype=bool)
             keep[words.first[i]:words.first[i + 1]] = ~gone
             digest.append(_sha(words, i, keep))
         return {"n_words": words.counts(), "n_removed": removed, "n_factors": parsed, "kept_sha256": digest}
 
     touched = repeated.join(_thinned(docs, fresh_bitmap(repeated, "doc"), doc_id, text), "doc")
-    shortened = (map_texts(touched, cut, result, ["doc", "windows"], "__text")
+    shortened = (map_texts(touched, cut, result, ["doc", "spans"], "__text")
                  .select(F.when(F.col("doc") != _NULL_ID, F.col("doc")).cast(kind).alias(doc_id),
                          "n_words", "n_removed", "n_factors", "kept_sha256"))
     return untouched.select(quoted(doc_id), "n_words", "n_removed", "n_factors", "kept_sha256").union(shortened)
