@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe import schemas
+from pulseframe.functions import scalars as fx
 
 # Readable name of each (device, parameter) code. Fixed values.
 PARAMETER_NAMES = {
@@ -27,7 +28,7 @@ PARAMETER_NAMES = {
 
 def read_device_log(spark: SparkSession, path) -> DataFrame:
     """Headerless five-column latin-1 file."""
-    return spark.read.csv(path, schema=schemas.DEVICE_LOG, header=False, encoding="ISO-8859-1")
+    return spark.read.csv(path, schema=schemas.DEVICE_LOG, header=False, encoding="ISO-8859-1", escape='"')
 
 
 def parameter_names(spark: SparkSession) -> DataFrame:
@@ -37,7 +38,8 @@ def parameter_names(spark: SparkSession) -> DataFrame:
 
 def keyed_readings(device_log: DataFrame) -> DataFrame:
     """Readings without a device or parameter belong to no group."""
-    return device_log.dropna(subset=["device", "param"])
+    cleaned = device_log.withColumns({k: fx.null_if_na(F.col(k)) for k in ("device", "param")})
+    return cleaned.dropna(subset=["device", "param"])
 
 
 def group_parameters(device_log: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseframe.operators.joins import measured
 from pulseframe.session import materialize
 
 BUCKET_ROWS = 1 << 20
@@ -59,6 +60,7 @@ def sorted_positions(df: DataFrame, order: list[Column], groups: list[str] | Non
         .withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
         .select(*[F.col(c).alias(f"__k_{c}") for c in slot], "__first", "__before")
     )
+    sizes = measured(sizes, "sizes")  # one row a group and partition: the rows are not shuffled again
     same = [table[c].eqNullSafe(sizes[f"__k_{c}"]) for c in slot]
     numbered = table.join(sizes, same)
     return numbered.withColumn(

@@ -15,7 +15,11 @@ def test_convert_experiment(spark, tmp_path):
     write(root / "UNFILTERED" / "SData_0.bin", 9, [
         record(9, channel=i % 2, timestamp=i, energy=i, samples=(i, 2, 3)) for i in range(10)], b"\1")
     (root / "run.info").write_text("id=TB-7\ntime.start=2023/01/05 23:30:00.123-0600\n")
-    (root / "aPSDspectrum.txt").write_text("1\n2\n")
+    (root / "UNFILTERED" / "aPSDspectrum.txt").write_text("1\n2\n")
+    for decoy in ("RAW", "FILTERED"):  # neither spectra nor run info of other folders count
+        (root / decoy).mkdir()
+        (root / decoy / "aPSDspectrum.txt").write_text("7\n8\n9\n")
+        (root / decoy / "run.info").write_text("id=WRONG\ntime.start=2020/01/05 23:30:00.123-0600\n")
     with tarfile.open(root / "TB-7_20240101-123456789_data.tar.gz", "w:gz") as tar:
         info = tarfile.TarInfo("TB-7 Gas 1.csv")
         data = b"Timestamp,v\n2,b\n1,a\n"
