@@ -127,14 +127,15 @@ def _top_mean(values: np.ndarray, first: np.ndarray, top: int = TOP_WORDS) -> np
 def learn_domains(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DomainModel:
     spark = ready(docs)
     sample = materialize(sample, "labelled-sample")
-    domains = sorted(r[0] for r in sample.select("__domain").distinct().collect())  # names of the domains
+    texts = materialize(
+        docs.select(F.col(quoted(doc_id)).alias("__id"), F.col(quoted(text)).alias("__text_of"))
+        .join(F.broadcast(sample), "__id").select("__domain", F.col("__text_of").alias("text")),
+        "labelled-texts")  # at most SAMPLE texts, unless rows repeat
+    domains = sorted(r[0] for r in texts.select("__domain").distinct().collect())  # those that documents have
     if len(domains) < 2:
         return DomainModel(domains, np.zeros((len(domains), 1 << WORD_BITS), np.float32))
     number = F.array_position(F.lit(domains), F.col("__domain")).cast("int") - 1
-    picked = materialize(
-        docs.select(F.col(quoted(doc_id)).alias("__id"), F.col(quoted(text)).alias("__text_of"))
-        .join(F.broadcast(sample), "__id").select(number.alias("__number"), F.col("__text_of").alias("text")),
-        "labelled-texts")  # at most SAMPLE texts, unless rows repeat
+    picked = texts.select(number.alias("__number"), "text")
     model = DomainModel(domains, word_odds(picked, domains, "text"))
     held = spark.sparkContext.broadcast(model)
 

@@ -12,6 +12,8 @@ from pulseframe.llm.run import table, with_ids
 END_ID = 2
 #: Shares of the expected tokens by label: clean prose first, little of what is marked toxic or poor.
 TARGETS = {"quality1_toxic0": 0.90, "quality1_toxic1": 0.02, "quality0_toxic0": 0.06, "quality0_toxic1": 0.02}
+#: For a corpus that is filtered for quality already: little of what is marked toxic.
+TOXIC_TARGETS = {"toxic0": 0.98, "toxic1": 0.02}
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +25,10 @@ def domain():
     return F.concat(F.lit("quality"), F.col("quality").cast("string"), F.lit("_toxic"), F.col("toxic").cast("string"))
 
 
+def toxic_domain():
+    return F.concat(F.lit("toxic"), F.col("toxic").cast("string"))
+
+
 def op1_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted texts are the documents labelled as good."""
     docs = table(spark, sf_dir, "documents")
