@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulseframe.llm import decontamination, mixing, qda_quality, shingle_join, token_output
-from pulseframe.llm.queries import END_ID, TARGETS, domain, tokenizer_path
+from pulseframe.llm.queries import END_ID, TOXIC_TARGETS, tokenizer_path, toxic_domain
 from pulseframe.llm.run import table
 from pulseframe.session import materialize, prepare
 
@@ -32,7 +32,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say."""
-    return mixing.mix(docs, table(spark, sf_dir, "labels"), domain(), TARGETS)
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), toxic_domain(), TOXIC_TARGETS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
