@@ -184,6 +184,8 @@ def fit_rates(members: DataFrame, targets: np.ndarray, iterations: int = ITERATI
     size = len(targets)
 
     def total(rates: Rates, products: bool = False) -> np.ndarray:
+        cells = [f"c{k}" for k in range(size * size if products else size)]
+
         def add(batches):
             sums = np.zeros((size, size) if products else size)
             for batch in batches:
@@ -191,14 +193,12 @@ def fit_rates(members: DataFrame, targets: np.ndarray, iterations: int = ITERATI
                     tokens = batch.column(0).to_numpy()
                     p = np.asarray(batch.column(1).flatten()).reshape(-1, size)
                     sums += (p * tokens[:, None]).T @ p if products else (rates.replay(p)[step] * tokens) @ p
-            yield {"cell": np.arange(sums.size), "value": sums.ravel()}
+            yield {name: [value] for name, value in zip(cells, sums.ravel(), strict=True)}
 
         step = total.step
-        rows = (stream(members.select("n_tokens", "posteriors"), add, "cell int, value double")
-                .groupBy("cell").agg(F.sum("value").alias("value")).collect())  # one row a domain or pair
-        out = np.zeros(size * size if products else size)
-        for row in rows:
-            out[row.cell] = row.value
+        row = (stream(members.select("n_tokens", "posteriors"), add, ", ".join(f"{c} double" for c in cells))
+               .agg(*(F.sum(c).alias(c) for c in cells)).first())  # one row a task goes to the sum
+        out = np.array([value or 0.0 for value in row])
         return out.reshape(size, size) if products else out
 
     total.step = 1
