@@ -248,9 +248,12 @@ def join_waveforms(psd_rows: DataFrame, signal_rows: DataFrame) -> DataFrame:
 
 
 def samples_wide(df: DataFrame, n: int) -> DataFrame:
-    """Export form with one column a sample, named by its number."""
+    """Export form with one column a sample, named by its number. A longer waveform raises: no sample is cut off."""
     kept = [c for c in df.columns if c != "samples"]
-    return df.select(*kept, *[F.get("samples", F.lit(i)).alias(str(i)) for i in range(n)])
+    whole = F.when(F.size("samples") > n, F.raise_error(F.lit(f"a waveform has more than {n} samples"))
+                   .cast(df.schema["samples"].dataType)).otherwise(F.col("samples"))
+    wide = df.select(*kept, whole.alias("samples"))
+    return wide.select(*kept, *[F.get("samples", F.lit(i)).alias(str(i)) for i in range(n)])
 
 
 def filter_sample_count(df: DataFrame, order: str = "raw_idx") -> DataFrame:

@@ -15,6 +15,7 @@ from pulseframe.operators import reactor as rx
 from pulseframe.operators import spectra
 from pulseframe.plans import stand_ins as si
 from pulseframe.plans.analysis import plan_analyses, plan_processing
+from pulseframe.plans.conversion import CSV_CLASSES, convert_listmode_csv
 from pulseframe.plans.inventory_view import current_inventory
 from pulseframe.session import scratch_path
 from pulseframe.sources import listmode_bin as lb
@@ -186,11 +187,11 @@ def waveform_join(spark, sf_dir):
         F.get("samples", F.lit(0)).cast("bigint").alias("first_sample"))
 
 
-@query(_WAVES + "SELECT vec_id, " + ", ".join(f'samples[{i + 1}] AS "{i}"' for i in range(8)) + " FROM v")
+@query(_WAVES + "SELECT vec_id, " + ", ".join(f'samples[{i + 1}] AS "{i}"' for i in range(64)) + " FROM v")
 def samples_wide(spark, sf_dir):
     rows = si.waveforms(spark, sf_dir).select(
         F.col("raw_idx").alias("vec_id"), F.col("samples").cast("array<bigint>").alias("samples"))
-    return lm.samples_wide(rows, 8)
+    return lm.samples_wide(rows, 64)
 
 
 # ---------------------------------------------------------------- list-mode delimited
@@ -373,6 +374,21 @@ def time_spectrum(spark, sf_dir):
                        F.round("bin_time", 6).alias("bin_time"))
 
 
+@query(_HIST + """
+SELECT 'energy' AS kind, event_type || 'Espectrum.txt3' AS file_name, bin_idx, n AS count, CAST(bin AS DOUBLE) / 2 AS place FROM b
+UNION ALL SELECT 'psd', event_type || 'PSDspectrum.txt', bin_idx, n, round(bin_idx * (CAST(1.0 AS DOUBLE) / bins), 9) FROM b
+UNION ALL SELECT 'time', event_type || 'Tspectrum.txt', bin_idx, n, round(bin_idx * (CAST(1000000.0 AS DOUBLE) / bins), 6) FROM b
+""")
+def spectra_scan(spark, sf_dir):
+    """The three kinds of spectra read from their files."""
+    tables = spectra.read_spectra(spark, si.spectrum_files(spark, sf_dir))
+    place = {"energy": F.col("bin_energy"), "psd": F.round("bin_psd", 9), "time": F.round("bin_time", 6)}
+    return rx.union_by_name([
+        table.select(F.lit(kind).alias("kind"), _file_name(), F.col("bin_idx").cast("bigint").alias("bin_idx"), "count",
+                     place[kind].alias("place"))
+        for kind, table in tables.items()])
+
+
 # ---------------------------------------------------------------- reactor telemetry
 
 _REACTOR = _EVENTS + """, r AS (
@@ -398,6 +414,19 @@ def reactor_merge(spark, sf_dir):
         F.col("fields").getItem("k").try_cast("bigint").alias("k"), "row_idx")
 
 
+@query(_REACTOR + """
+SELECT experiment_id, device_param, event_id AS stamp, value,
+       row_number() OVER (PARTITION BY experiment_id, device_param ORDER BY event_id) - 1 AS row_idx
+FROM l
+""")
+def reactor_merge_numeric(spark, sf_dir):
+    """Numbers as times: ordered by value, not as text."""
+    rows = rx.merge_reactor_indexed(read_reactor_archives(spark, si.reactor_archives(spark, sf_dir, numeric=True)))
+    return rows.select(
+        "experiment_id", "device_param", F.col("Timestamp").cast("bigint").alias("stamp"),
+        F.col("fields").getItem("value (µA)").try_cast("double").alias("value"), "row_idx")
+
+
 @query(_REACTOR + """
 SELECT experiment_id || '_20240101-123456789_data.tar.gz' AS archive,
        experiment_id || ' ' || device_param || ' ' || CAST(seq AS VARCHAR) || '.csv' AS member,
@@ -431,7 +460,23 @@ SELECT 'wendi_' || strftime(ts, '%Y%m%d') || '.log' AS source_file, CAST(floor(e
 FROM e WHERE event_type <> 'error'
 """)
 def dose_log(spark, sf_dir):
-    rows = doselog.parse_wendi_log(si.dose_lines(spark, sf_dir), si.DOSE_ZONE, on_dst="flag")
+    return _dose_columns(doselog.parse_wendi_log(si.dose_lines(spark, sf_dir), si.DOSE_ZONE, on_dst="flag"))
+
+
+@query(_EVENTS + """
+SELECT 'wendi_' || CAST(event_id // 4096 AS VARCHAR) || '.log' AS source_file, CAST(floor(epoch(ts)) AS BIGINT) AS at_second,
+       floor(value) AS value_int, 'µSv/h' AS unit_int, CAST(k AS DOUBLE) AS value_ext, 'cps' AS unit_ext,
+       event_type AS status, FALSE AS dst_gap, FALSE AS dst_ambiguous
+FROM e WHERE event_type <> 'error'
+""")
+def dose_log_scan(spark, sf_dir):
+    """Dose logs read from files in the meter's character set."""
+    folder = si.text_files(si.dose_lines(spark, sf_dir, by_range=True), "dose", "cp1252")
+    rows = doselog.read_wendi_log(spark, folder, si.DOSE_ZONE, on_dst="flag")
+    return _dose_columns(rows.withColumn("source_file", fx.base_name(F.col("source_file"))))
+
+
+def _dose_columns(rows):
     return rows.select(
         "source_file", F.unix_seconds("DATETIME").alias("at_second"), F.col("VALUE_INT").alias("value_int"),
         F.col("UNIT_INT").alias("unit_int"), F.col("VALUE_EXT").alias("value_ext"),
@@ -930,23 +975,47 @@ def sink_reactor(spark, sf_dir):
         F.col("fields").getItem("value (µA)").try_cast("double").alias("value"))
 
 
-@query(_HIST + "SELECT event_type || 'Tspectrum.txt' AS source_file, bin_idx, n AS count FROM b")
+@query(_HIST + """
+SELECT kind, event_type || suffix AS source_file, bin_idx, n AS count
+FROM b CROSS JOIN (VALUES ('energy', 'Espectrum.txt3'), ('psd', 'PSDspectrum.txt'), ('time', 'Tspectrum.txt')) AS t(kind, suffix)
+""")
 def sink_spectra(spark, sf_dir):
+    """All three kinds, written twice with the fresh option: the second run replaces the first."""
     dest = scratch_path(spark, "spectra")
-    rows = spectra.parse_time_spectrum(si.count_lines(spark, sf_dir, "Tspectrum.txt"))
-    sinks.write_spectra({"time": rows}, dest)
-    return spark.read.parquet(f"{dest}/time_spectrum").select(
-        "source_file", F.col("bin_idx").cast("bigint").alias("bin_idx"), "count")
+    tables = {
+        "energy": spectra.parse_energy_spectrum(si.energy_lines(spark, sf_dir)),
+        "psd": spectra.parse_psd_spectrum(si.count_lines(spark, sf_dir, "PSDspectrum.txt")),
+        "time": spectra.parse_time_spectrum(si.count_lines(spark, sf_dir, "Tspectrum.txt"))}
+    for _ in range(2):
+        sinks.write_spectra(tables, dest, fresh=True)
+    return rx.union_by_name([
+        spark.read.parquet(f"{dest}/{kind}_spectrum").select(
+            F.lit(kind).alias("kind"), "source_file", F.col("bin_idx").cast("bigint").alias("bin_idx"), "count")
+        for kind in tables])
+
+
+@query(_CSV_ROWS)
+def convert_folders_csv(spark, sf_dir):
+    """Experiment roots converted one by one into one destination; stray, deeper and raw files are left out."""
+    root, dest = si.experiment_csv_folders(spark, sf_dir), scratch_path(spark, "converted")
+    kinds = sorted(r[0] for r in si.events(spark, sf_dir).select("event_type").distinct().collect())  # a few types
+    for kind in kinds:
+        convert_listmode_csv(spark, f"{root}/{kind}/UNFILTERED", f"{dest}/listmode", True, CSV_CLASSES["listmode_csv_single"])
+    return _csv_columns(sinks.read_listmode_table(spark, f"{dest}/listmode"))
 
 
 @query(_EVENTS + """
-SELECT CAST(floor(epoch(ts)) AS BIGINT) AS at_second, floor(value) AS value_int FROM e WHERE event_type <> 'error'
+SELECT CAST(floor(epoch(ts)) AS BIGINT) AS at_second, floor(value) AS value_int, 'µSv/h' AS unit_int,
+       CAST(k AS DOUBLE) AS value_ext, 'cps' AS unit_ext, event_type AS status
+FROM e WHERE event_type <> 'error'
 """)
 def sink_dose_log(spark, sf_dir):
     dest = scratch_path(spark, "wendi")
     sinks.write_wendi(doselog.parse_wendi_log(si.dose_lines(spark, sf_dir), si.DOSE_ZONE), dest)
     return spark.read.parquet(dest).select(
-        F.unix_seconds("DATETIME").alias("at_second"), F.col("VALUE_INT").alias("value_int"))
+        F.unix_seconds("DATETIME").alias("at_second"), F.col("VALUE_INT").alias("value_int"),
+        F.col("UNIT_INT").alias("unit_int"), F.col("VALUE_EXT").alias("value_ext"),
+        F.col("UNIT_EXT").alias("unit_ext"), F.col("STATUS").alias("status"))
 
 
 @query("""

@@ -162,18 +162,45 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_header_file(data, CSV_HEADER, "0;0;0;1;1;0x0")
 
 
-def csv_files(spark: SparkSession, sf_dir: str) -> str:
-    """``csv_lines`` as files, each written by one task from its bounded id range."""
+def text_files(lines: DataFrame, label: str, encoding: str = "utf-8", root: str | None = None) -> str:
+    """Folder with ``lines(source_file, line_no, value)`` as files, each written by one task."""
+    spark = lines.sparkSession
     ship_package(spark)
-    root = scratch_path(spark, "events-csv")
+    root = root or scratch_path(spark, label)
 
     def write(frame: pd.DataFrame) -> pd.DataFrame:
         ordered = frame.sort_values("line_no")
-        _write_file(f"{root}/{ordered['source_file'].iloc[0]}", ("\n".join(ordered["value"]) + "\n").encode())
+        _write_file(f"{root}/{ordered['source_file'].iloc[0]}", ("\n".join(ordered["value"]) + "\n").encode(encoding))
         return pd.DataFrame({"n": [len(ordered)]})
 
-    csv_lines(spark, sf_dir).groupBy("source_file").applyInPandas(write, "n BIGINT").write.format(
-        "noop").mode("overwrite").save()
+    lines.groupBy("source_file").applyInPandas(write, "n BIGINT").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """``csv_lines`` as files, each a bounded id range."""
+    return text_files(csv_lines(spark, sf_dir), "events-csv")
+
+
+def spectrum_files(spark: SparkSession, sf_dir: str) -> str:
+    """The three spectra of each event type as files; a line a distinct whole value."""
+    root = text_files(energy_lines(spark, sf_dir), "spectra")
+    for suffix in ("PSDspectrum.txt", "Tspectrum.txt"):
+        text_files(count_lines(spark, sf_dir, suffix), "spectra", root=root)
+    return root
+
+
+def experiment_csv_folders(spark: SparkSession, sf_dir: str) -> str:
+    """``csv_files`` as experiment roots, with files a conversion must leave out and a dual-layout root."""
+    root = csv_files(spark, sf_dir)
+    lines = csv_lines(spark, sf_dir)
+    decoys = [("/UNFILTERED/SData_", f) for f in ("/UNFILTERED/other_", "/RAW/SData_", "/UNFILTERED/deep/SData_")]
+    for old, new in decoys:
+        text_files(lines.withColumn("source_file", F.replace("source_file", F.lit(old), F.lit(new)))
+                   .where(~F.col("source_file").endswith("/SData.csv")), "decoys", root=root)
+    heads = lines.where(F.col("source_file").endswith("/SData.csv"))
+    text_files(heads.withColumn("source_file", F.replace("source_file", F.lit("UNFILTERED/"), F.lit("UNFILTERED/deep/"))),
+               "decoys", root=root)
     return root
 
 
@@ -225,16 +252,18 @@ def count_lines(spark: SparkSession, sf_dir: str, suffix: str) -> DataFrame:
         F.col("n").cast("string").alias("value"))
 
 
-def reactor_archives(spark: SparkSession, sf_dir: str) -> str:
+def reactor_archives(spark: SparkSession, sf_dir: str, numeric: bool = False) -> str:
     """Folder of archives: an experiment a range of events, a parameter an event type, members by user.
 
-    Members with an odd number have an extra column; each archive also has two members to skip.
+    Members with an odd number have an extra column; each archive also has two members to skip. ``numeric``
+    archives have event numbers for times.
     """
     ship_package(spark)
     root = scratch_path(spark, "reactor")
     rows = events(spark, sf_dir).select(
         F.floor(F.col("event_id") / RECORDS_PER_FILE).alias("exp"), "event_id", "event_type",
-        (F.col("user_id") % 4).alias("seq"), text_time(F.col("ts"), "yyyy-MM-dd HH:mm:ss").alias("Timestamp"),
+        (F.col("user_id") % 4).alias("seq"),
+        (F.col("event_id").cast("string") if numeric else text_time(F.col("ts"), "yyyy-MM-dd HH:mm:ss")).alias("Timestamp"),
         "value", "k")
 
     def write(frame: pd.DataFrame) -> pd.DataFrame:
@@ -262,11 +291,14 @@ def reactor_archives(spark: SparkSession, sf_dir: str) -> str:
 DOSE_ZONE = "Etc/GMT+6"
 
 
-def dose_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dose-meter log a day: four header lines among blank ones, then readings six hours behind UTC."""
+def dose_lines(spark: SparkSession, sf_dir: str, by_range: bool = False) -> DataFrame:
+    """Dose-meter log a day, or a range of events: four header lines among blank ones, then readings six hours
+    behind UTC."""
     e = events(spark, sf_dir)
     local = F.col("ts") - F.expr("interval 6 hours")
-    name = F.concat(F.lit("wendi_"), text_time(F.col("ts"), "yyyyMMdd"), F.lit(".log")).alias("source_file")
+    part = (F.floor(F.col("event_id") / RECORDS_PER_FILE).cast("string") if by_range
+            else text_time(F.col("ts"), "yyyyMMdd"))
+    name = F.concat(F.lit("wendi_"), part, F.lit(".log")).alias("source_file")
     data = e.select(
         name, (F.col("event_id") + 8).alias("line_no"),
         F.concat_ws(

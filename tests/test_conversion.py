@@ -2,11 +2,13 @@ import io
 import json
 import tarfile
 
+import pytest
 from binfile import record, write
 from pulseframe import sinks
 from pulseframe.operators import listmode as lm
 from pulseframe.plans.conversion import convert_experiment
-from pulseframe.streaming.conversion import continuous_conversion, converted_so_far
+from pulseframe.sources.tables import read_conversion_logs
+from pulseframe.streaming.conversion import continuous_conversion, converted_so_far, status_so_far
 from pulseframe.streaming.logs import log_stream
 
 
@@ -98,3 +100,48 @@ def test_log_stream(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "o")).collect()
     assert sorted(r["level"] for r in rows) == ["CRITICAL", "ERROR", "INFO", "WARNING"]
     assert all(r["message"] == f"m{int(r['level_no'])}" for r in rows)
+
+
+def test_convert_dual_layout_and_log(spark, tmp_path):
+    root, dest = tmp_path / "in" / "TB-9", tmp_path / "out"
+    folder = root / "UNFILTERED"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "Data_CH0.csv").write_text("CHANNEL;ENERGY\n0;5\n")
+    (folder / "Data_CH0_1.csv").write_text("0;6\n")
+    (folder / "Data_CH1_1.csv").write_text("1;7\n")
+    (folder / "Data_CH2_1.csv").write_text("2;99\n")  # neither of the two channels
+    (folder / "SData_1.csv").write_text("0;77\n")  # other layout
+    (folder / "deep" / "Data_CH0.csv").write_text("CHANNEL;ENERGY\n0;88\n")
+    convert_experiment(spark, str(root), str(dest), "listmode_csv_dual", log_root=str(tmp_path / "logs"))
+    table = sinks.read_listmode_table(spark, f"{dest}/listmode")
+    assert sorted(r["ENERGY"] for r in table.collect()) == [5, 6, 7]
+    log = read_conversion_logs(spark, str(tmp_path / "logs")).collect()
+    assert [(r["id"], r["contents"]) for r in log] == [("TB-9", f"INFO - Conversion of {root} complete")]
+
+
+def test_convert_dose_meter(spark, tmp_path):
+    log = tmp_path / "day.log"
+    log.write_bytes("FH40G\nserial\nunit\nDATE\tTIME\n2024-01-02\t03:04:05\t1\tµSv/h\t2\tcps\tok\n".encode("cp1252"))
+    convert_experiment(spark, str(log), str(tmp_path / "out"), "dose_meter", log_root=str(tmp_path / "logs"))
+    row = spark.read.parquet(f"{tmp_path}/out/wendi").first()
+    assert (row["VALUE_INT"], row["UNIT_INT"], row["STATUS"]) == (1.0, "µSv/h", "ok")
+    assert read_conversion_logs(spark, str(tmp_path / "logs")).first()["id"] == "day"
+
+
+def test_failed_files_are_in_log_and_stream_status(spark, tmp_path):
+    root, dest = tmp_path / "TB-8", tmp_path / "out"
+    write(root / "UNFILTERED" / "SData_0.bin", 7, [record(7, timestamp=i) for i in range(3)], b"\1")
+    convert_experiment(spark, str(root), str(dest), "listmode_bin", log_root=str(tmp_path / "logs"))
+    lines = sorted(r["contents"] for r in read_conversion_logs(spark, str(tmp_path / "logs")).collect())
+    assert lines == ["ERROR - 1 files failed", f"INFO - Conversion of {root} complete"]
+    running = continuous_conversion(spark, str(root), f"{tmp_path}/stream", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    running.awaitTermination()
+    assert converted_so_far(spark, f"{tmp_path}/stream").count() == 3
+    assert [r["ok"] for r in status_so_far(spark, f"{tmp_path}/stream").collect()] == [False]
+
+
+def test_wide_samples_cut_nothing(spark):
+    rows = spark.createDataFrame([(1, [1, 2, 3]), (2, [4])], "k INT, samples ARRAY<INT>")
+    assert sorted(map(tuple, lm.samples_wide(rows, 3).collect())) == [(1, 1, 2, 3), (2, 4, None, None)]
+    with pytest.raises(Exception, match="more than 2 samples"):
+        lm.samples_wide(rows, 2).collect()
