@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -32,6 +34,20 @@ def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``function``, with what its task has freed given back to the system: a Python worker outlives its tasks."""
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+            if trim is not None:
+                trim(0)
+    return run
+
+
 def map_texts(df: DataFrame, function: Callable[[Block], dict], ddl: str, keep: Iterable[str] = ("doc_id",),
               text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
     """One result row for each row of ``df``: its ``keep`` columns, then what ``function`` computes from its text.
@@ -54,7 +70,7 @@ def map_texts(df: DataFrame, function: Callable[[Block], dict], ddl: str, keep:
     picked = df.select(*[quoted(k) for k in keep])
     if text not in keep:
         picked = df.select(*[quoted(k) for k in keep], F.col(quoted(text)).cast("string").alias(column))
-    return picked.mapInArrow(run, spark_schema)
+    return picked.mapInArrow(tidy(run), spark_schema)
 
 
 def emit_rows(df: DataFrame, function: Callable[[Block, pa.Array], dict], ddl: str, key: str = "doc_id",
@@ -71,7 +87,7 @@ def emit_rows(df: DataFrame, function: Callable[[Block, pa.Array], dict], ddl: s
                 yield whole.slice(low, _ROWS)
 
     picked = df.select(F.col(quoted(key)).alias("__key"), F.col(quoted(text)).cast("string").alias("__text"))
-    return picked.mapInArrow(run, spark_schema)
+    return picked.mapInArrow(tidy(run), spark_schema)
 
 
 def stream(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], ddl: str) -> DataFrame:
@@ -85,7 +101,7 @@ def stream(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterato
             if whole.num_rows:
                 yield whole
 
-    return df.mapInArrow(run, spark_schema)
+    return df.mapInArrow(tidy(run), spark_schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -180,7 +196,7 @@ def thin(df: DataFrame, bitmap: np.ndarray, name: str) -> DataFrame:
             keep &= values.is_valid().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names=names)
 
-    return df.mapInArrow(pick, df.schema)
+    return df.mapInArrow(tidy(pick), df.schema)
 
 
 def with_ids(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:

@@ -113,18 +113,6 @@ class PieceEncoder:
         return self.ids[source], edges
 
 
-_encoders: dict[int, PieceEncoder] = {}
-
-
-def _encoder(held) -> PieceEncoder:
-    """One encoder a worker, kept over its tasks."""
-    key = zlib.crc32(held.value.encode())
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = PieceEncoder(held.value)
-    return _encoders[key]
-
-
 def _open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     if re.match(r"[a-z0-9]+:/(?!/)", path):  # file:/x
         path = path.replace(":/", ":///", 1)
@@ -245,7 +233,7 @@ def write_token_files(docs: DataFrame, target: str, tokenizer_path: str, end_id:
     def write(batches: Iterator[pa.RecordBatch]):
         task = TaskContext.get()
         shard = task.partitionId()
-        encoder = _encoder(held)
+        encoder = None  # one a task: kept longer, it would take memory from later stages
         fs, folder = _open_fs(target)
         name, draft = f"{folder}/ids-{shard:06d}.zst", f"{folder}/.ids-{shard:06d}-{task.taskAttemptId()}"
         sink = writer = None
@@ -253,7 +241,7 @@ def write_token_files(docs: DataFrame, target: str, tokenizer_path: str, end_id:
             if writer is None:
                 fs.create_dir(folder)
                 sink = fs.open_output_stream(draft)
-                writer = SeekableWriter(sink)
+                writer, encoder = SeekableWriter(sink), PieceEncoder(held.value)
             ids, edges = encoder.encode(block)
             ids = np.insert(ids, edges[1:], np.uint32(end_id))
             writer.add(block.rows.column(0).to_pylist(), ids, np.diff(edges) + 1)
