@@ -17,6 +17,8 @@ from pulseframe.llm.text import BLOCK_BYTES, Block, blocks, mix
 from pulseframe.session import prepare
 
 _ROWS = 200_000
+#: A batch from the JVM ends with the row that reaches so many bytes.
+BATCH_BYTES = 4_000_000
 
 
 def fields(ddl: str) -> T.StructType:
@@ -49,11 +51,12 @@ def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
 
 def map_texts(df: DataFrame, function: Callable[[Block], dict], ddl: str, keep: Iterable[str] = ("doc_id",),
-              text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
+              text: str = "text", limit: int = BLOCK_BYTES,
+              only: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """One result row for each row of ``df``: its ``keep`` columns, then what ``function`` computes from its text.
 
     ``function`` gets a block of whole texts and returns one array a result column. Only ``keep`` and the text are
-    read. A null text is an empty one.
+    read. A null text is an empty one. ``only`` filters the batches first.
     """
     keep = list(keep)
     added = fields(ddl)
@@ -62,7 +65,7 @@ def map_texts(df: DataFrame, function: Callable[[Block], dict], ddl: str, keep:
     column = text if text in keep else "__text"
 
     def run(batches):
-        for block in blocks(batches, column, limit):
+        for block in blocks(only(batches) if only else batches, column, limit):
             found = function(block)
             kept = [block.rows.column(i) for i in range(len(keep))]
             yield batch_of(arrow_schema, kept + [found[f.name] for f in added])
@@ -139,9 +142,14 @@ def quoted(name: str) -> str:
 
 
 def ready(df: DataFrame) -> SparkSession:
-    """The session of ``df``, with this package on its Python workers."""
-    prepare(df.sparkSession)
-    return df.sparkSession
+    """The session of ``df``, with this package on its Python workers and Arrow batches bounded by bytes.
+
+    Batches bounded by rows alone would grow with the texts, in the executor's JVM and in its Python workers.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
 
 
 def partitions(spark: SparkSession) -> int:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm.components import components
 from pulseframe.llm.run import (column, emit_rows, fresh_bitmap, in_bitmap, map_texts, partitions, quoted, ready, stream,
-                                whole_groups)
+                                tidy, whole_groups)
 from pulseframe.llm.text import Block, Words, hash_runs, window_starts
 from pulseframe.session import materialize
 
@@ -308,8 +308,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
         keys, first = shingle_sets(block, size)
         return {"__node": set_nodes(keys, first), "__size": np.diff(first)}
 
-    certain = docs.mapInArrow(split(False), docs.schema)
-    maybe = map_texts(docs.mapInArrow(split(True), docs.schema), nodes, "__node long, __size long", names, text)
+    certain = docs.mapInArrow(tidy(split(False)), docs.schema)
+    # filter and sets in one Python worker a task
+    maybe = map_texts(docs, nodes, "__node long, __size long", names, text, only=split(True))
     # of equal rows in a class only the first can stay; where nothing is dropped, equal rows are empty ones
     open_rows = (maybe.withColumn("__id", F.coalesce(key, F.lit(_NULL_ID)))
                  .join(judged.select(F.col("id").alias("__id"), F.col("node").alias("__node"), "stays"),

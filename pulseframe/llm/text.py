@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 _M64 = (1 << 64) - 1
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)

@@ -40,6 +40,8 @@ from pulseframe.session import materialize, scratch_path
 FRAME_IDS = 1 << 18
 SHARD_BYTES = 32_000_000
 CACHE_PIECES = 1_500_000
+#: Pieces handed to the tokenizer at once; its results take far more memory than the ids kept of them.
+ENCODE_PIECES = 8_192
 _INDEX_MAGIC, _SEEK_MAGIC, _SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
@@ -96,7 +98,9 @@ class PieceEncoder:
             raw = block.data.tobytes()
             new = np.flatnonzero(~known)
             texts = [raw[starts[i]:ends[i]].decode("utf-8", "replace") for i in sample[new]]
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            encoded = [e.ids for low in range(0, len(texts), ENCODE_PIECES)
+                       for e in self.tokenizer.encode_batch_fast(texts[low:low + ENCODE_PIECES],
+                                                                 add_special_tokens=False)]
             count = np.fromiter(map(len, encoded), np.int32, len(encoded))
             flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(count.sum()))
             first = np.cumsum(count) - count + len(self.ids)
