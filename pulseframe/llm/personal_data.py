@@ -54,7 +54,7 @@ KINDS = (
     Kind("secret", r"(?i)(?<![A-Za-z0-9_])(?:token|secret|password|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{16,128}",
          "[=:]", 0.7, r"(?i)\b(?:token|secret|password|key)\b", False),
 )
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 
 def _digits(value: Column) -> Column:

@@ -227,6 +227,14 @@ def test_personal_data_random(spark):
         d: brute.personal(t) for d, t in rows}
 
 
+def test_zero_octets(spark):
+    rows = list(enumerate(["10.0.0.1", "1.2.3.0", "00.1.1.1", "0.0.0.0 and 127.0.0.1, 256.0.0.1 000.0000.255.010", "0.0.0.256"]))
+    got = personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_ip for r in got} == {0: 1, 1: 1, 2: 1, 3: 3, 4: 0}
+    assert {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got} == {
+        d: brute.personal(t) for d, t in rows}
+
+
 def test_added_kinds(spark):
     rows = [(1, "iban: GB82 WEST 1234 5698 7654 32 ok"), (2, "GB82WEST12345698765433"), (3, 'token = "24be64439e3e49cf46b2d7"'),
             (4, "social security 123-45-6789"), (5, "123-45-6789")]
