@@ -3,7 +3,9 @@
 Regular expressions propose spans, validators confirm them (Luhn for cards, mod 97 for account numbers, number ranges
 and digit counts), and words near a span move its score. Matches are leftmost and do not overlap within a kind; one
 that its validator rejects is dropped without another try. Possessive quantifiers give the same matches as plain ones
-here, without the backtracking that long runs would cost.
+here, without the backtracking that long runs would cost. An account number ends where the length fixed for its
+country says (``IBAN_LENGTHS``); other country codes take as much as follows. Account numbers are tried from every
+country code on, also within one that was rejected.
 
 Base kinds: email, ip, card, phone. The operator adds iban (mod 97), ssn and secret (a long value assigned to a name
 such as ``token``); added spans are reported when their score reaches ``CUT``.
@@ -27,7 +29,8 @@ CONTEXT = 48  # characters before and after a span that are searched for context
 
 @dataclass(frozen=True)
 class Kind:
-    """``hint``: a pattern any text with a match also matches, cheap to test."""
+    """``hint``: a pattern any text with a match also matches, cheap to test. ``group``: the one with the value, looked
+    ahead at from the match if not 0."""
 
     name: str
     pattern: str
@@ -35,6 +38,22 @@ class Kind:
     score: float
     context: str
     base: bool
+    group: int = 0
+
+
+#: Characters of an account number by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    known = {size: "|".join(codes.split()) for size, codes in IBAN_LENGTHS.items()}
+    numbers = [rf"(?:{codes})[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{{size - 4}}}" for size, codes in known.items()]
+    numbers.append(rf"(?!{'|'.join(known.values())})[A-Z]{{2}}[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{11,30}}")
+    return rf"(?<![A-Za-z0-9])(?=({'|'.join(numbers)})(?![A-Za-z0-9]))[A-Z]{{2}}"
 
 
 #: Patterns of the base kinds, and those added.
@@ -47,8 +66,7 @@ KINDS = (
          r"(?i)\b(?:card|visa|credit|debit|payment|number)\b", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]", 0.7,
          r"(?i)\b(?:phone|call|tel|mobile|fax|contact)\b", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", 0.9,
-         r"(?i)\b(?:iban|account|bank|transfer)\b", False),
+    Kind("iban", _iban(), "[A-Z]{2}[0-9]{2}", 0.9, r"(?i)\b(?:iban|account|bank|transfer)\b", False, 1),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", 0.4,
          r"(?i)\b(?:ssn|social|security|tax)\b", False),
     Kind("secret", r"(?i)(?<![A-Za-z0-9_])(?:token|secret|password|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{16,128}",
@@ -100,15 +118,17 @@ _SPANS = "array<struct<start:bigint,value:string>>"
 
 def _proposed(text: Column, kind: Kind) -> Column:
     """Start and value of every match: the text between matches gives the places."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))
     between = F.split(text, kind.pattern, -1)
-    pairs = F.arrays_zip(F.transform(between, lambda s: F.length(s).cast("bigint")).alias("gap"), found.alias("value"))
+    matched = found if not kind.group else F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    pairs = F.arrays_zip(F.transform(between, lambda s: F.length(s).cast("bigint")).alias("gap"), found.alias("value"),
+                         matched.alias("matched"))
     empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("spans"))
 
     def add(state: Column, pair: Column) -> Column:
         start = state["at"] + pair["gap"]
         span = F.struct(start.alias("start"), pair["value"].alias("value"))
-        return F.struct((start + F.coalesce(F.length(pair["value"]), F.lit(0))).alias("at"),
+        return F.struct((start + F.coalesce(F.length(pair["matched"]), F.lit(0))).alias("at"),
                         F.concat(state["spans"], F.array(span)).alias("spans"))
 
     return F.when(text.rlike(kind.hint), F.filter(F.aggregate(pairs, empty, add)["spans"], lambda s: s["value"].isNotNull())

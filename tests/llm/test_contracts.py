@@ -243,6 +243,18 @@ def test_added_kinds(spark):
     assert got[4] == "ssn:16:27" and got[5] == ""
 
 
+def test_account_numbers_end_by_country(spark):
+    """What follows a number, or precedes it, does not hide it."""
+    german, norwegian = "DE89 3704 0044 0532 0130 00", "NO9386011117947"
+    rows = [(1, f"IBAN {german} BIC COBADEFFXXX"), (2, "DE89370400440532013000 2024"), (3, f"{norwegian} {german} EUR"),
+            (4, f"BE71 {german[:14]} {german}"), (5, "DE89370400440532013001 2024"), (6, "DE89370400440532013000X"),
+            (7, f"REF ZZ12 AB CD EF {german} EUR"), (8, f"BE71 {german}")]
+    got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: [s for s in spans.split(",") if s.startswith("iban")] for d, spans in got.items()} == {
+        1: ["iban:5:32"], 2: ["iban:0:22"], 3: ["iban:0:15", "iban:16:43"], 4: ["iban:20:47"], 5: [], 6: [],
+        7: ["iban:18:45"], 8: ["iban:5:32"]}
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
