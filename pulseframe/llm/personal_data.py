@@ -69,7 +69,7 @@ KINDS = (
     Kind("iban", _iban(), "[A-Z]{2}[0-9]{2}", 0.9, r"(?i)\b(?:iban|account|bank|transfer)\b", False, 1),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", 0.4,
          r"(?i)\b(?:ssn|social|security|tax)\b", False),
-    Kind("secret", r"(?i)(?<![A-Za-z0-9_])(?:token|secret|password|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{16,128}",
+    Kind("secret", r"(?i)(?<![A-Za-z0-9_])(?:token|secret|password|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{16,}+",
          "[=:]", 0.7, r"(?i)\b(?:token|secret|password|key)\b", False),
 )
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"

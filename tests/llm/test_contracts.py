@@ -255,6 +255,13 @@ def test_account_numbers_end_by_country(spark):
         7: ["iban:18:45"], 8: ["iban:5:32"]}
 
 
+def test_long_secrets_are_whole(spark):
+    rows = [(n, f"token={'aB3-_.x9' * n} end") for n in (2, 16, 17, 125, 5000)]
+    got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: [s for s in spans.split(",") if s.startswith("secret")] for d, spans in got.items()} == {
+        n: [f"secret:0:{6 + 8 * n}"] for n, _ in rows}
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
