@@ -125,9 +125,10 @@ def _repeated_lines(block: Block, words: Words) -> np.ndarray:
     if not len(words):
         return np.zeros(len(block), np.int64)
     cut = np.unique(np.concatenate([np.flatnonzero(block.data == 0x0A), block.offsets[1:] ]))
-    line_of = np.searchsorted(cut, words.starts)  # lines are numbered by the first cut at or after their words
+    # lines are numbered by the first cut after their words' starts; one at a start is the end of the text before
+    line_of = np.searchsorted(cut, words.starts, "right")
     line, first_word = np.unique(line_of, return_index=True)
-    before = np.searchsorted(cut, words.starts[first_word]) - 1
+    before = line - 1
     start = np.where(before >= 0, cut[np.maximum(before, 0)] + (block.data[np.minimum(cut[np.maximum(before, 0)],
                      len(block.data) - 1)] == 0x0A), 0)
     text = words.doc()[first_word]

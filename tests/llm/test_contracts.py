@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,12 +12,13 @@ import brute
 from pulseframe.llm import queries
 from pulseframe.llm.decontamination import contamination, decontaminate
 from pulseframe.llm.license_scan import TEMPLATES, license_scan
-from pulseframe.llm.llr_quality import llr_quality
+from pulseframe.llm.llr_quality import base_counts, llr_quality
 from pulseframe.llm.mixing import domain_rates, mix
 from pulseframe.llm.personal_data import personal_data
 from pulseframe.llm.qda_quality import accepted, quality_scores
 from pulseframe.llm.shingle_join import deduplicate, link_sets, near_duplicates
 from pulseframe.llm.substring_dedup import substring_dedup
+from pulseframe.llm.text import text_block
 from pulseframe.llm.token_output import SeekableReader, read_documents, token_files, write_token_files
 
 SMALL = "/root/testdata/sf0.001"
@@ -50,6 +52,16 @@ def test_base_rules(docs):
     assert llr_quality(docs, empty(docs)).filter("llr <> 0").count() == 0
 
 
+def test_repeated_lines_anywhere_in_a_block():
+    """A text's count does not depend on the texts before it in its block."""
+    texts = ["foo\nbar baz\nfoo", "a b", "a b\n", "", "\n", "foo", "foo\nfoo\nfoo", "\nfoo\nfoo", "x\n \nx\n", "é\né"]
+    for first in texts:
+        for rest in (texts, texts[::-1]):
+            batch = pa.RecordBatch.from_pydict({"text": [first, *rest]})
+            found = base_counts(text_block(batch))["n_dup_lines"].tolist()
+            assert found == [brute.base_rules(t)[3] for t in (first, *rest)], first
+
+
 def test_ratio_rejects_junk(spark):
     clean = [(i, f"the quiet river runs past old stone houses and {w} gardens by the mill") for i, w in
              enumerate(["green", "wide", "small", "north", "late"] * 4)]
