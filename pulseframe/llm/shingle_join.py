@@ -10,9 +10,11 @@ Equal sets are one node. The join is exact:
 2. Sets that share a prefix shingle and whose sizes allow a link are chained, and the chains' components are cells.
    No set is compared outside its cell, and no pair of a group is listed.
 3. In a cell the ordered sets form a trie (kept as sorted sequences with their common prefix lengths). The walk shares
-   the partial overlaps of a common prefix, drops a subtree when its remaining length cannot reach any set that is not
-   yet connected, and records a link only where it joins two components. A cell of more than ``CELL_SHINGLES`` is cut
-   into blocks, and every pair of blocks is walked in a task of its own.
+   the partial overlaps of a common prefix. ``near_duplicates`` tests every set against all others of its cell and
+   counts its links, ``n_links``: the other documents that link with a document, its copies among them. Only links
+   that join two components are listed. ``deduplicate`` needs no counts, and its walk drops a subtree when its
+   remaining length cannot reach any set that is not yet connected. A cell of more than ``CELL_SHINGLES`` is cut into
+   blocks, and every pair of blocks is walked in a task of its own.
 
 Cases: null, empty and blank texts have the empty set, link with nothing and are their own component (their id, null
 if that is null); with fewer words than a shingle the whole sequence is the set; rows with equal ids are judged each;
@@ -126,8 +128,9 @@ def _chains(batches, percent: int):
         yield {"a": pairs[:, 0], "b": pairs[:, 1]}
 
 
-def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links of a cell that join its components: pairs of indices into ``sets``."""
+def _trie(sets: list[np.ndarray]):
+    """Sizes, each set's ordered tokens, the holders of each token and where they start, the sets in the order of the
+    trie, and the common prefix length of each with the one before it."""
     count = len(sets)
     size = np.array([len(s) for s in sets])
     tokens = np.concatenate(sets)
@@ -148,6 +151,13 @@ def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int,
         differ = np.flatnonzero(ranks[left][:most] != ranks[right][:most])
         shared.append(int(differ[0]) if len(differ) else int(most))
     shared.append(0)
+    return size, ranks, posting, post_first, walk, shared
+
+
+def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links of a cell that join its components: pairs of indices into ``sets``."""
+    count = len(sets)
+    size, ranks, posting, post_first, walk, shared = _trie(sets)
     tail = np.array(shared)
 
     component = np.arange(count)
@@ -197,6 +207,78 @@ def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int,
     return links
 
 
+def count_links(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None = None,
+                percent: int = PERCENT) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Copies of the other sets that each set of a cell links with, and the links that join its components. With
+    ``side`` only links between different sides are looked at."""
+    count = len(sets)
+    size, ranks, posting, post_first, walk, shared = _trie(sets)
+    # a token that most sets hold is kept as the sets without it; those tokens come first
+    common = int((2 * np.diff(post_first) > count).sum())
+    holders = [posting[post_first[r]:post_first[r + 1]] for r in range(len(post_first) - 1)]
+    for r in range(common):
+        without = np.ones(count, dtype=bool)
+        without[holders[r]] = False
+        holders[r] = np.flatnonzero(without)
+
+    def step(overlap: np.ndarray, of: int, low: int, high: int) -> np.ndarray:
+        mine = ranks[of][low:high]
+        most = int(np.searchsorted(mine, common))
+        out = overlap + most
+        if most:
+            out -= np.bincount(np.concatenate([holders[r] for r in mine[:most]]), minlength=count)
+        if most < len(mine):
+            out += np.bincount(np.concatenate([holders[r] for r in mine[most:]]), minlength=count)
+        return out
+
+    component = np.arange(count)
+    links: list[tuple[int, int]] = []
+    many = np.zeros(count, np.int64)
+    stack: list[tuple[int, np.ndarray]] = [(0, np.zeros(count, np.int64))]
+    for at, one in enumerate(walk):
+        while stack[-1][0] > shared[at]:
+            stack.pop()
+        depth, overlap = stack[-1]
+        below = shared[at + 1]
+        if below > depth:  # the next sets branch off here: keep the partial overlap for them
+            overlap = step(overlap, one, depth, below)
+            depth = below
+            stack.append((depth, overlap))
+        overlap = step(overlap, one, depth, int(size[one]))
+        hit = (100 + percent) * overlap >= percent * (size + size[one])
+        hit[one] = False
+        if side is not None:
+            hit &= side != side[one]
+        many[one] = copies[hit].sum()
+        new = np.flatnonzero(hit & (component != component[one]))
+        if len(new):
+            others, first = np.unique(component[new], return_index=True)
+            links.extend((one, int(new[i])) for i in first)
+            component[np.isin(component, others)] = component[one]
+    return many, links
+
+
+def _cell_counts(batches, percent: int):
+    """Links that join components (``links`` -1), and the number of links of each node ``a`` in a part."""
+    for group in whole_groups(batches, ["cell", "part"]):
+        cell, part, node, mine, cross, copies = (
+            group.column(c).to_numpy() for c in ("cell", "part", "node", "mine", "cross", "copies"))
+        values = group.column("shingles").combine_chunks()
+        head = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])))
+        left, right, total = [], [], np.zeros(len(node), np.int64)
+        for low, high in zip(head, np.append(head[1:], len(cell))):
+            if high - low < 2:
+                continue
+            sets = [np.frombuffer(values[i].as_buffer(), dtype=np.uint64) for i in range(low, high)]
+            total[low:high], links = count_links(sets, copies[low:high], mine[low:high] if cross[low] else None, percent)
+            for a, b in links:
+                left.append(node[low + a])
+                right.append(node[low + b])
+        some = total > 0
+        yield {"a": np.append(np.array(left, np.int64), node[some]), "b": np.append(np.array(right, np.int64), node[some]),
+               "links": np.append(np.full(len(left), -1, np.int64), total[some])}
+
+
 def _cell_links(batches, percent: int):
     for group in whole_groups(batches, ["cell", "part"]):
         cell, part, node = (group.column(c).to_numpy() for c in ("cell", "part", "node"))
@@ -212,8 +294,9 @@ def _cell_links(batches, percent: int):
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, region: float,
-             cell_shingles: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``node`` (of its set) and ``root`` (of the set's component) of every document."""
+             cell_shingles: int, count: bool = False) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``node`` (of its set) and ``root`` (of the set's component) of every document; with
+    ``count`` also ``n_links``."""
     spark = ready(docs)
     width = partitions(spark)
     tokens = emit_rows(docs, lambda block, key: _tokens(block, size, percent, region),
@@ -257,6 +340,20 @@ def _classes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, r
     placed = (sets.join(weight, "cell").withColumn("mine", mine)
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .withColumn("part", F.least("mine", "other") * F.col("blocks").cast("long") + F.greatest("mine", "other")))
+    if count:
+        copies = rows.groupBy("node").agg(F.count("*").alias("copies"))
+        placed = placed.join(copies, "node").select("cell", "part", "node", "shingles", "mine",
+                                                    (F.col("mine") != F.col("other")).alias("cross"), "copies")
+        walked = materialize(stream(placed.repartition(width, "cell", "part").sortWithinPartitions("cell", "part", "node"),
+                                    lambda batches: _cell_counts(batches, percent), "a long, b long, links long"),
+                             "shingle-counts")
+        roots = components(walked.filter("links < 0").select("a", "b"), "shingle-links")
+        linked = (walked.filter("links >= 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")))
+        named = (copies.join(roots, "node", "left").join(linked, "node", "left")
+                 .select("node", F.coalesce("root", "node").alias("root"),
+                         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+        return (rows.select(quoted(doc_id), "n_shingles", "node").join(named, "node")
+                .withColumn("n_links", F.when(F.col("n_shingles") > 0, F.col("links")).otherwise(F.lit(0))).drop("links"))
     walked = stream(placed.select("cell", "part", "node", "shingles").repartition(width, "cell", "part")
                     .sortWithinPartitions("cell", "part", "node"),
                     lambda batches: _cell_links(batches, percent), "a long, b long")
@@ -267,13 +364,13 @@ def _classes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, r
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
                     percent: int = PERCENT, region: float = REGION, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """``n_shingles`` and ``component_id`` of every document."""
-    rows = _classes(docs, doc_id, text, size, percent, region, cell_shingles)
+    """``n_shingles``, ``component_id`` and ``n_links`` of every document."""
+    rows = _classes(docs, doc_id, text, size, percent, region, cell_shingles, True)
     key = F.col(quoted(doc_id))
     least = (rows.filter(F.col("n_shingles") > 0).groupBy("root").agg(F.min(key).alias("component_id")))
     return (rows.join(least, "root", "left")
             .select(quoted(doc_id), "n_shingles",
-                    F.when(F.col("n_shingles") == 0, key).otherwise(F.col("component_id")).alias("component_id")))
+                    F.when(F.col("n_shingles") == 0, key).otherwise(F.col("component_id")).alias("component_id"), "n_links"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,

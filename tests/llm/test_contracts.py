@@ -16,7 +16,7 @@ from pulseframe.llm.llr_quality import base_counts, llr_quality
 from pulseframe.llm.mixing import domain_rates, mix
 from pulseframe.llm.personal_data import personal_data
 from pulseframe.llm.qda_quality import accepted, quality_scores
-from pulseframe.llm.shingle_join import deduplicate, link_sets, near_duplicates
+from pulseframe.llm.shingle_join import count_links, deduplicate, link_sets, near_duplicates, shingle_sets
 from pulseframe.llm.substring_dedup import substring_dedup
 from pulseframe.llm.text import text_block
 from pulseframe.llm.token_output import SeekableReader, read_documents, token_files, write_token_files
@@ -179,6 +179,38 @@ def test_link_sets(sets):
     assert all((max(l), min(l)) in every for l in links)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 14), min_size=1, max_size=12), st.integers(1, 5), st.booleans()),
+                min_size=1, max_size=12, unique_by=lambda r: frozenset(r[0])), st.booleans())
+def test_count_links(rows, cross):
+    sets, copies, side = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    got, _ = count_links([np.array(sorted(s), np.uint64) for s in sets], copies, side if cross else None)
+    assert got.tolist() == [
+        sum(n for j, (t, n, b) in enumerate(rows) if i != j and not (cross and a == b)
+            and 100 * len(s & t) >= 80 * len(s | t)) for i, (s, _, a) in enumerate(rows)]
+
+
+def test_number_of_links(spark, awkward):
+    """All links of near and exact copies are counted, also in cells that are cut into blocks."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(4):
+        words = [f"w{rng.integers(0, 10**5)}" for _ in range(120)]
+        for _ in range(15):
+            rows += [(len(rows) + k, " ".join(edited(rng, words, int(rng.integers(0, 3))))) for k in range(2)]
+        rows += [(len(rows) + k, " ".join(words)) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(awkward.select("doc_id", "text")
+                                                                         .withColumn("doc_id", awkward.doc_id + 1000))
+    texts = docs.collect()
+    keys, first = shingle_sets(text_block(pa.RecordBatch.from_pydict({"text": [r.text for r in texts]})))
+    sets = [set(keys[a:b].tolist()) for a, b in zip(first[:-1], first[1:])]
+    want = bag((r.doc_id, sum(100 * len(s & t) >= 80 * len(s | t) for t in sets if t) - 1 if s else 0)
+               for r, s in zip(texts, sets))
+    for options in ({}, {"cell_shingles": 1500}):
+        got = near_duplicates(docs.repartition(3), **options).collect()
+        assert bag((r.doc_id, r.n_links) for r in got) == want, options
+
+
 def contamination_rows(got):
     return bag((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect())
 
