@@ -1,8 +1,9 @@
-"""Repeated passages by relative Lempel-Ziv parsing.
+"""Repeated passages by hashed windows of words.
 
-Every document is factored against all earlier text: a factor is the longest run of words that goes on word by word
-at one earlier place (of a smaller document, or earlier in the same one). Factors of at least ``WINDOW`` words are
-duplicate spans and are removed; every word decision is made on the input.
+A window of ``WINDOW`` words that stands at an earlier place too (of a smaller document, or earlier in the same one) is
+removed; every word decision is made on the input. Windows are found by their hashes. There is no greedy Lempel-Ziv
+parse: it jumps past each factor and misses a window that begins inside one and ends less than ``WINDOW`` words after
+it, and its extension would need the reference's text beside each document.
 
 The index of reference blocks is distributed and holds blocks of ``ANCHOR`` words at chosen places only: every window
 of ``WINDOW`` words has one anchor, its block with the smallest hash, and equal windows have equal anchors at equal
@@ -14,8 +15,9 @@ places. So
 2. anchors that occur once are dropped, and with them most of the text;
 3. documents with shared anchors emit their other windows around these, each under its hash; sorted by hash and
    place, the first is the reference of all that follow (a second, independent hash is compared for every piece and
-   window, hence at both ends of each factor);
-4. each document's referenced pieces and windows are parsed greedily into factors, which are cut from its words.
+   window);
+4. each document's referenced pieces and windows are cut from its words. ``n_factors`` counts their runs along one
+   reference and shift; the first places of neighbouring windows may be in different documents, so runs can overlap.
 
 Texts are shuffled only for documents with shared anchors (step 3) and for those that lose words (step 4). A passage
 that many documents share never forms a group in memory: its windows stream past the first one, and repeats within a
@@ -174,7 +176,7 @@ def _pieces(block: Block, key: pa.Array, window: int, anchor: int) -> dict:
 
 
 def count_factors(start: np.ndarray, length: np.ndarray, ref: np.ndarray, ref_start: np.ndarray, window: int) -> int:
-    """Factors of one document: neighbouring pieces and windows along the same source are one."""
+    """Runs in one document: neighbouring pieces and windows along the same source are one; no greedy parse."""
     order = np.lexsort((start, ref_start - start, ref))
     start, length, ref, ref_start = (v[order] for v in (start, length, ref, ref_start))
     reach = np.maximum.accumulate(start + length)
@@ -334,7 +336,7 @@ def _pieces(block: Block, key: pa.Array, window: int, anchor: int) -> dict:
 
 
 def count_factors(start: np.ndarray, length: np.ndarray, ref: np.ndarray, ref_start: np.ndarray, window: int) -> int:
-    """Factors of one document: neighbouring pieces and windows along the same source are one."""
+    """Runs in one document: neighbouring pieces and windows along the same source are one; no greedy parse."""
     order = np.lexsort((start, ref_start - start, ref))
     start, length, ref, ref_start = (v[order] for v in (start, length, ref, ref_start))
     reach = np.maximum.accumulate(start + length)
