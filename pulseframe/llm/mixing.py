@@ -5,7 +5,9 @@ documents are then fitted so that the expected token totals of the domains, the
 accelerated projected gradient on the scaled least squares, with a small pull towards rate 1 that makes the answer
 unique. Each iteration is one pass over the narrow table of posteriors that adds up one number a domain; the rates
 themselves are not stored but follow from the posteriors and the past gradients, a bounded list of short vectors. So
-nothing grows on the driver, no lineage builds up, and a lost task is simply run again.
+nothing grows on the driver, no lineage builds up, and a lost task is simply run again. It ends after ``ITERATIONS``
+passes at the latest; wanted and reached totals are logged for each domain, with a warning where they differ by more
+than ``TOLERANCE`` of all tokens.
 
 The classifier learns from at most ``SAMPLE`` labelled rows (those with the smallest hash of their id); posteriors,
 totals and rates cover all documents. It looks at the statistics of ``features`` and, for each domain, at the words
@@ -19,6 +21,7 @@ each get a rate; an empty table gives no rows.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,6 +43,7 @@ PULL = 1e-3
 ITERATIONS = 60
 TOLERANCE = 1e-4
 TEMPERATURE = 2.0
+_log = logging.getLogger(__name__)
 
 
 def labelled_sample(labels: DataFrame, domain, doc_id: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
@@ -249,7 +253,17 @@ def _fitted(docs, labels, domain, targets, doc_id, text, sample):
     goal = np.array([targets.get(d, 0.0) for d in model.domains])
     if model.discriminant is None or not goal.sum():
         return model, members, Rates()
-    return model, members, fit_rates(members, goal)[0]
+    rates, wanted, reached = fit_rates(members, goal)
+    _report(model.domains, wanted, reached, len(rates.gradients))
+    return model, members, rates
+
+
+def _report(domains: list[str], wanted: np.ndarray, reached: np.ndarray, passes: int) -> None:
+    for name, want, have in zip(domains, wanted, reached, strict=True):
+        missed = abs(have - want) > TOLERANCE * wanted.sum()
+        _log.log(logging.WARNING if missed else logging.INFO,
+                 "domain %s: wanted %.1f tokens, reached %.1f, residual %.1f, after %d passes", name, want, have,
+                 have - want, passes)
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain, targets: dict[str, float], doc_id: str = "doc_id",

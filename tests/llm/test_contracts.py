@@ -413,6 +413,18 @@ def test_mixing_is_the_least_squares_answer(spark):
     assert (rates.replay(p)[0] >= 0).all()
 
 
+def test_mixing_tells_missed_targets(spark, caplog, monkeypatch):
+    """Every domain's residual is logged, those beyond the tolerance as warnings."""
+    from pulseframe.llm import mixing
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(mixing, "fit_rates", lambda members, goal: (
+        mixing.Rates(), goal / goal.sum() * 1e6, goal / goal.sum() * 1e6 + np.arange(len(goal)) * 150.0))
+    with caplog.at_level("INFO", "pulseframe.llm.mixing"):
+        _, model, _ = domain_rates(docs, labels, queries.toxic_domain(), queries.TOXIC_TARGETS)
+    found = [(r.levelname, r.args[0], round(r.args[3])) for r in caplog.records if r.name == "pulseframe.llm.mixing"]
+    assert found == [("INFO", "toxic0", 0), ("WARNING", "toxic1", 150)] and model.domains == ["toxic0", "toxic1"]
+
+
 def test_mixing_awkward(awkward, spark):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (8, 0, 1), (11, 1, 0), (None, 1, 0), (99, 0, 0), (2, None, 0)],
                                    "doc_id long, quality int, toxic int")
