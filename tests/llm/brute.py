@@ -1,6 +1,7 @@
 """Plain versions of the contracts, row by row on the driver, to hold small results against."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -144,3 +145,38 @@ def personal(text):
             found["phone"].append(m.span())
     listed = ",".join(f"{k}:{a}:{b}" for k, spans in found.items() for a, b in spans)
     return (*(len(v) for v in found.values()), sha(listed))
+
+
+def ranked(rows, items, k=10):
+    """``rows``: (doc_id, text); ``items``: (item_id, text); (item_id, rank, doc_id, score), null ids last among equals."""
+    counts = [(d, Counter(alnum(t))) for d, t in rows]
+    counts = [(d, c) for d, c in counts if c]
+    total = sum(c.total() for _, c in counts)
+    frequency = Counter(t for _, c in counts for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        for d, c in counts:
+            m = 10 + (90 * c.total() * len(counts)) // total
+            score = sum(math.floor(1000 * math.log((2 * len(counts) + 2) / (2 * frequency[t] + 1)))
+                        * ((1000000000 * c[t]) // (1000 * c[t] + 8 * m)) for t in set(alnum(text)) if c[t])
+            if score:
+                found.append((-score, d is None, d))
+        out += [(item, i + 1, d, -s) for i, (s, _, d) in enumerate(sorted(found, key=lambda f: (f[0], f[1], f[2] or 0))[:k])]
+    return out
+
+
+def hard_negatives(rows, k=5):
+    """``rows``: (vec_id, vector, label)."""
+    vectors = [(i, [math.floor(256 * x) for x in v], (y + 1) % 10 if i is not None and i % 7 == 0 else y) for i, v, y in rows
+               if y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    order = lambda f: (-f[0], f[1] is None, f[1] or 0)
+    out = []
+    for a, (i, v, y) in enumerate(vectors):
+        if i is None or i % 100:
+            continue
+        scores = [(sum(p * q for p, q in zip(v, w)), j, z) for b, (j, w, z) in enumerate(vectors) if b != a]
+        for s, j, _ in sorted((f for f in scores if f[2] == y), key=order)[:k]:
+            fits = [f for f in scores if f[2] != y and 80 * s <= 100 * f[0] <= 100 * s]
+            out += [(i, j, n + 1, g, s, t) for n, (t, g, _) in enumerate(sorted(fits, key=order)[:k])]
+    return out
