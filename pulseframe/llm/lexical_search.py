@@ -38,7 +38,7 @@ from pulseframe.llm.text import ALNUM, Block, Words, blocks
 from pulseframe.session import materialize
 
 #: Text bytes of a segment, at most (or one text).
-SEGMENT_BYTES = 4_000_000
+SEGMENT_BYTES = 2_000_000
 #: Terms of the queries that are searched together, at most (or one query).
 BLOCK_TERMS = 200_000
 #: Salts of a query's candidates in the first of two merges.
@@ -46,9 +46,9 @@ SALTS = 32
 
 _NO_ID = np.iinfo(np.int64).max
 _POSTINGS = ("ids array<long>, lengths array<long>, terms array<int>, starts array<int>, docs array<int>, "
-             "counts array<long>")
-_INDEX = ("ids array<long>, terms array<int>, starts array<int>, docs array<int>, impacts array<long>, "
-          "peaks array<long>, pairs array<int>, pair_starts array<int>, pair_docs array<int>, pair_peaks array<long>")
+             "counts array<int>")
+_INDEX = ("ids array<long>, terms array<int>, starts array<int>, docs array<int>, impacts array<int>, "
+          "peaks array<int>, pairs array<int>, pair_starts array<int>, pair_docs array<int>, pair_peaks array<long>")
 
 
 class Queries:
@@ -113,7 +113,7 @@ def postings(docs: DataFrame, terms: np.ndarray, segment_bytes: int = SEGMENT_BY
             ids = block.rows.column(0).cast(pa.int64()).fill_null(_NO_ID)
             yield {"ids": [ids.to_numpy(zero_copy_only=False)], "lengths": [words.counts().astype(np.int64)],
                    "terms": [term.astype(np.int32)], "starts": [np.append(starts, len(code)).astype(np.int32)],
-                   "docs": [(code % len(block)).astype(np.int32)], "counts": [counts.astype(np.int64)]}
+                   "docs": [(code % len(block)).astype(np.int32)], "counts": [counts.astype(np.int32)]}
 
     picked = docs.select(F.col("doc_id").cast("long").alias("__key"), F.col("text").cast("string").alias("__text"))
     return stream(picked, build, _POSTINGS)
@@ -160,6 +160,7 @@ def impact_index(segments: DataFrame, queries: Queries, documents: int, total: i
         weights, pairs = held.value
         for row in _rows(batches):
             terms, starts, docs, counts = (row[n] for n in ("terms", "starts", "docs", "counts"))
+            counts = counts.astype(np.int64)
             factor = length_factors(row["lengths"], documents, total)
             impacts = (1_000_000_000 * counts) // (1000 * counts + 8 * factor[docs])
             peaks = np.maximum.reduceat(impacts, starts[:-1]) if len(terms) else np.zeros(0, np.int64)
@@ -183,8 +184,8 @@ def impact_index(segments: DataFrame, queries: Queries, documents: int, total: i
                 lists.append(docs[span][at])
                 joint.append((ahead[at] - 1 + weights[terms[right]] * impacts[span][at]).max(initial=0))
             sizes = np.array([len(x) for x in lists], np.int64)
-            yield {"ids": [row["ids"]], "terms": [terms], "starts": [starts], "docs": [docs], "impacts": [impacts],
-                   "peaks": [peaks], "pairs": [both.astype(np.int32)],
+            yield {"ids": [row["ids"]], "terms": [terms], "starts": [starts], "docs": [docs], "impacts": [impacts.astype(np.int32)],
+                   "peaks": [peaks.astype(np.int32)], "pairs": [both.astype(np.int32)],
                    "pair_starts": [np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)],
                    "pair_docs": [np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int32)],
                    "pair_peaks": [np.array(joint, np.int64)]}
