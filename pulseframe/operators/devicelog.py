@@ -27,8 +27,10 @@ PARAMETER_NAMES = {
 
 
 def read_device_log(spark: SparkSession, path) -> DataFrame:
-    """Headerless five-column latin-1 file."""
-    return spark.read.csv(path, schema=schemas.DEVICE_LOG, header=False, encoding="ISO-8859-1", escape='"')
+    """Headerless five-column latin-1 files, with the ``experiment_id`` that each file's folder tells."""
+    rows = spark.read.option("recursiveFileLookup", "true").csv(
+        path, schema=schemas.DEVICE_LOG, header=False, encoding="ISO-8859-1", escape='"')
+    return rows.withColumn("experiment_id", fx.experiment_id_of_file(fx.decode_file_url(F.col("_metadata.file_path"))))
 
 
 def parameter_names(spark: SparkSession) -> DataFrame:
@@ -60,4 +62,5 @@ def name_parameters(device_log: DataFrame, names: DataFrame | None = None,
         code = F.concat_ws("/", "device", "param")
         name = F.coalesce(
             name, F.raise_error(F.concat(F.lit("unknown device parameter "), code)).cast("string"))
-    return named.select("device", "param", name.alias("name"), "Time", "Data", "Unit")
+    kept = ["experiment_id"] if "experiment_id" in named.columns else []
+    return named.select(*kept, "device", "param", name.alias("name"), "Time", "Data", "Unit")

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe import schemas
 from pulseframe.functions import scalars as fx
-from pulseframe.operators.joins import join_summary, measure, measured
+from pulseframe.operators.joins import join_summary, measured
 from pulseframe.operators.positions import with_record_idx
-from pulseframe.sources.lines import block_starts, place_in_block, read_lines, rows_before, text_rows
+from pulseframe.session import materialize, ship_package
+from pulseframe.sources import listmode_csv as csv
+from pulseframe.sources.files import list_files
+from pulseframe.sources.lines import over_spans, place_spans, spans_of
 
 SAMPLES_COLUMN = "SAMPLES"
 DELIMITER = ";"
@@ -137,9 +144,16 @@ def _sample_fields(kind: str | None = None) -> Column:
 
 def typed_listmode(rows: DataFrame) -> DataFrame:
     """The fixed ``listmode`` columns from delimited rows (``record_idx`` as found in the input)."""
+    named = F.transform(F.sequence(F.lit(0), F.size("names") - 1),
+                        lambda i: F.struct(F.get("names", i).alias("key"), F.get("parts", i).alias("value")))
+    extra = F.map_from_entries(F.filter(named, lambda e: ~e["key"].isin(*CSV_COLUMNS)))
+    return _typed(rows, lambda target: F.get("parts", F.col("place")[target]), _sample_fields("smallint"), extra)
+
 
+def _typed(rows: DataFrame, raw: Callable[[str], Column], samples: Column, extra: Column) -> DataFrame:
+    """``raw`` gives the text of a list-mode column; ``extra`` maps the names of all other columns to their text."""
     def text_of(target):
-        return F.trim(F.get("parts", F.col("place")[target]))
+        return F.trim(raw(target))
 
     flags = text_of("FLAGS")
     hexadecimal = flags.rlike("^0[xX][0-9a-fA-F]{1,8}$")
@@ -157,7 +171,8 @@ def typed_listmode(rows: DataFrame) -> DataFrame:
         text_of("ENERGYSHORT").try_cast("smallint").alias("ENERGYSHORT"),
         flag_value.alias("FLAGS"),
         text_of("WAVEFORM_CODE").try_cast("smallint").alias("WAVEFORM_CODE"),
-        _sample_fields("smallint").alias("samples"),
+        samples.alias("samples"),
+        F.when(F.size(extra) > 0, F.transform_values(extra, lambda _, v: fx.null_if_na(v))).alias("extra"),
     )
 
 
@@ -177,43 +192,50 @@ def parse_listmode_csv(lines: DataFrame, delimiter: str = DELIMITER, gapless: bo
     return typed_listmode(_with_layout(kept, headers, delimiter))
 
 
-def read_listmode_csv(spark: SparkSession, path, delimiter: str = DELIMITER,
-                      glob: str = CSV_GLOB) -> DataFrame:
-    """``listmode`` rows of the delimited files below ``path``, numbered without shuffling them.
+def read_listmode_csv(spark: SparkSession, path, delimiter: str = DELIMITER, glob: str = CSV_GLOB,
+                      prefix: str = "", split_bytes: int | None = None) -> DataFrame:
+    """``listmode`` rows of the delimited files below ``path`` whose names start with the pattern ``prefix``."""
+    files = filter_files(list_files(spark, path, glob), "", prefix, "path")
+    return listmode_csv_of(files, delimiter, split_bytes)
+
+
+def listmode_csv_of(files: DataFrame, delimiter: str = DELIMITER, split_bytes: int | None = None) -> DataFrame:
+    """``listmode`` rows of the delimited files that a table ``files(path, length)`` names, read by spans.
 
-    Same rows as ``parse_listmode_csv(read_lines(...))``. Kept lines are numbered where they are read: a
-    counting pass finds how many each file block keeps, and a line's index is its block's running sum plus
-    its place among the lines the block keeps. Only the unnumbered files are read for headers.
+    Same rows as ``parse_listmode_csv(read_lines(...))``. A counting pass finds how many lines each byte range keeps; a
+    running sum over that small table numbers the first of each range, and reading tasks go on from there, so no line is
+    shuffled or joined at any size. Headers come from the first lines of the unnumbered files among ``files``. A folder
+    without a header raises, as does one of whose lines none has few enough fields for its header.
     """
-    unnumbered = fx.is_unnumbered(F.col("_metadata.file_name"))
-    head_lines = read_lines(spark, path, glob, files=unnumbered).where(F.col("line_no") <= 1)
-    headers, small = measure(csv_folder_headers(head_lines, delimiter), "csv-headers")
-    if not small:
-        # Joining the headers would reorder the lines before they are numbered.
-        return parse_listmode_csv(read_lines(spark, path, glob), delimiter)
-    # Lines look their folder up by its encoded path; decoding is left to the small tables.
-    by_url = headers.withColumn("folder", fx.encode_file_url(F.col("folder")))
-    rows = text_rows(spark, path, glob).withColumn("folder", fx.folder_of(F.col("url")))
-    kept = _fits(by_url, rows, delimiter).withColumn("kept_id", F.monotonically_increasing_id())
-
-    # A header line that passes the rule is the first kept line of its file's first block.
-    tops = head_lines.where(F.col("line_no") == 0).withColumn("folder", fx.folder_of(F.col("source_file")))
-    tops = _fits(headers, tops, delimiter).select("source_file", F.lit(1).alias("top"))
-    blocks = (
-        block_starts(kept, "kept_id").withColumn("source_file", fx.decode_file_url(F.col("url")))
-        .join(tops, "source_file", "left")
-        .withColumn("top", F.when(F.col("block") == 0, F.coalesce("top", F.lit(0))).otherwise(F.lit(0)))
-        .withColumn("n_data", F.col("n") - F.col("top"))
-    )
-    blocks = rows_before(blocks, "n_data").drop("n_data")
-    numbered = (
-        join_summary(kept, blocks, ["url", "block"], "left", "csv-counts")
-        .withColumn("place_in_data", place_in_block("kept_id") - F.col("top"))
-        .where(F.col("place_in_data") >= 0)
-        .withColumn("record_idx", F.col("before") + F.col("place_in_data"))
-        .withColumn("parts", _pieces(F.col("value"), delimiter))
+    ship_package(files.sparkSession)
+    files = materialize(files.select("path", "length").withColumn("folder", fx.folder_of(F.col("path"))), "csv-files")
+    unnumbered = files.where(fx.is_unnumbered(F.col("path")) & (F.col("length") > 0)).select("path", "length")
+    heads = unnumbered.mapInArrow(over_spans(csv.head_lines), schemas.LINES)
+    headers = csv_folder_headers(heads, delimiter)
+    most = F.coalesce(
+        F.greatest(F.col("width"), F.size("names")),
+        F.raise_error(F.lit("Could not find csv file with headers")).cast("int"))
+    extra = F.filter(F.sequence(F.lit(0), F.size("names") - 1), lambda i: ~F.get("names", i).isin(*CSV_COLUMNS))
+    laid_out = (
+        files.join(headers, "folder", "left").withColumn("most", most)
+        .select("path", "length", "folder", "most", "names", "width", "place", extra.alias("extra"),
+                fx.is_unnumbered(F.col("path")).alias("headed"))
     )
-    return typed_listmode(numbered)
+    spans, tasks = spans_of(materialize(laid_out, "csv-layout"), split_bytes)
+    counted = materialize(spans.repartition(tasks).mapInArrow(
+        over_spans(partial(csv.count_kept, delimiter=delimiter)),
+        "path STRING, split BIGINT, folder STRING, n BIGINT, n_lines BIGINT"), "csv-counts")
+    misfits = counted.groupBy("folder").agg(F.sum("n").alias("n"), F.sum("n_lines").alias("n_lines"))
+    misfit = misfits.where((F.col("n") == 0) & (F.col("n_lines") > 0)).first()
+    if misfit is not None:
+        raise ValueError(f"no line fits the header of {misfit['folder']}")
+    placed = spans.join(place_spans(counted).select("path", "split", "n", "first"), ["path", "split"]).where(F.col("n") > 0)
+    texts = ", ".join(f"{name} STRING" for name in csv.TARGETS)
+    rows = placed.repartition(tasks).mapInArrow(
+        over_spans(partial(csv.read_kept, delimiter=delimiter)),
+        f"source_file STRING, record_idx BIGINT, {texts}, samples ARRAY<STRING>, extra MAP<STRING,STRING>")
+    samples = F.transform("samples", lambda v: v.try_cast("smallint"))
+    return _typed(rows, F.col, samples, F.coalesce("extra", F.create_map().cast("map<string,string>")))
 
 
 def with_channel_from_name(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.session import scratch_path, ship_package
-from pulseframe.sources.files import resolve
+from pulseframe.sources.files import write_whole
 
 RECORDS_PER_FILE = 4096
 VECTORS_PER_FILE = 100
@@ -39,17 +39,6 @@ def text_time(moment: Column, fmt: str) -> Column:
     return F.date_format(moment, fmt)
 
 
-def _write_file(path: str, data: bytes) -> None:
-    """Appear complete or not at all: write aside, then rename."""
-    system, inner = resolve(path)
-    folder = inner.rsplit("/", 1)[0]
-    system.create_dir(folder, recursive=True)
-    aside = f"{folder}/.{inner.rsplit('/', 1)[1]}.part"
-    with system.open_output_stream(aside) as out:
-        out.write(data)
-    system.move(aside, inner)
-
-
 def _encode(frame: pd.DataFrame, header: int) -> bytes:
     """Records in frame order; with waveforms when there is a ``samples`` column."""
     fields = [("BOARD", "<u2"), ("CHANNEL", "<u2"), ("TIMESTAMP", "<u8"), ("ENERGY", "<i2"),
@@ -83,7 +72,7 @@ def _write_bin(records: DataFrame, header: int, label: str, time_offset: int = 0
         ordered = frame.sort_values("raw_idx")
         ordered["TIMESTAMP"] = ordered["TIMESTAMP"].astype("uint64") + np.uint64(time_offset)
         number = int(ordered["file_no"].iloc[0])
-        _write_file(f"{root}/run-{number // 8}/UNFILTERED/SData_{number}.bin", _encode(ordered, header))
+        write_whole(f"{root}/run-{number // 8}/UNFILTERED/SData_{number}.bin", _encode(ordered, header))
         return pd.DataFrame({"n": [len(ordered)]})
 
     records.groupBy("file_no").applyInPandas(write, "n BIGINT").write.format("noop").mode("overwrite").save()
@@ -170,7 +159,7 @@ def text_files(lines: DataFrame, label: str, encoding: str = "utf-8", root: str
 
     def write(frame: pd.DataFrame) -> pd.DataFrame:
         ordered = frame.sort_values("line_no")
-        _write_file(f"{root}/{ordered['source_file'].iloc[0]}", ("\n".join(ordered["value"]) + "\n").encode(encoding))
+        write_whole(f"{root}/{ordered['source_file'].iloc[0]}", ("\n".join(ordered["value"]) + "\n").encode(encoding))
         return pd.DataFrame({"n": [len(ordered)]})
 
     lines.groupBy("source_file").applyInPandas(write, "n BIGINT").write.format("noop").mode("overwrite").save()
@@ -281,7 +270,7 @@ def reactor_archives(spark: SparkSession, sf_dir: str, numeric: bool = False) ->
                 columns = ["Timestamp", "value"] + (["k"] if seq % 2 else [])
                 named = part[columns].rename(columns={"value": "value (µA)"})
                 add(f"TB-{number} {kind} param {seq}.csv", named.to_csv(index=False))
-        _write_file(f"{root}/e{number}/TB-{number}_20240101-123456789_data.tar.gz", out.getvalue())
+        write_whole(f"{root}/e{number}/TB-{number}_20240101-123456789_data.tar.gz", out.getvalue())
         return pd.DataFrame({"n": [len(frame)]})
 
     rows.groupBy("exp").applyInPandas(write, "n BIGINT").write.format("noop").mode("overwrite").save()
@@ -542,12 +531,12 @@ def experiment_folders(spark: SparkSession, sf_dir: str) -> str:
     def write(frame: pd.DataFrame) -> pd.DataFrame:
         for key, nation, balance in zip(frame["s_suppkey"], frame["s_nationkey"], frame["s_acctbal"]):
             name, in_debt = f"ID-{key}", balance < 0
-            _write_file(f"{root}/unconverted/{name}/UNFILTERED/SData.bin", b"x")
+            write_whole(f"{root}/unconverted/{name}/UNFILTERED/SData.bin", b"x")
             if nation < 15:
                 text = f"start\nConversion of {name} complete\n" + ("ERROR late\n" if in_debt else "")
-                _write_file(f"{root}/converted/{name}/conversion.log", text.encode())
+                write_whole(f"{root}/converted/{name}/conversion.log", text.encode())
             if nation < 8:
-                _write_file(f"{root}/processed/{name}/" + ("plot.png" if in_debt else "output.csv"), b"x")
+                write_whole(f"{root}/processed/{name}/" + ("plot.png" if in_debt else "output.csv"), b"x")
         return pd.DataFrame({"n": [len(frame)]})
 
     rows.groupBy("task").applyInPandas(write, "n BIGINT").write.format("noop").mode("overwrite").save()

@@ -3,7 +3,7 @@
 LISTMODE = (
     "experiment_id STRING, source_file STRING, record_idx BIGINT, BOARD SMALLINT, CHANNEL SMALLINT, "
     "TIMESTAMP DECIMAL(20,0), ENERGY SMALLINT, CALIB_ENERGY DOUBLE, ENERGYSHORT SMALLINT, "
-    "FLAGS BIGINT, WAVEFORM_CODE SMALLINT, samples ARRAY<SMALLINT>"
+    "FLAGS BIGINT, WAVEFORM_CODE SMALLINT, samples ARRAY<SMALLINT>, extra MAP<STRING,STRING>"
 )
 
 LISTMODE_HEADERS = (

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.functions import scalars as fx
+from pulseframe.session import ship_package
 
 
 def resolve(path: str):
@@ -36,15 +39,117 @@ def open_sequential(path: str):
     return system.open_input_stream(inner, compression=None)
 
 
+def write_whole(path: str, data: bytes) -> None:
+    """A file that appears complete or not at all: written aside, then renamed."""
+    system, inner = resolve(path)
+    folder, name = inner.rsplit("/", 1)
+    system.create_dir(folder, recursive=True)
+    aside = f"{folder}/.{name}.part"
+    with system.open_output_stream(aside, compression=None) as out:
+        out.write(data)
+    system.move(aside, inner)
+
+
+def _unhidden(name: str) -> bool:
+    return not name.startswith(("_", "."))
+
+
+def _rows(parent: str, prefix: str, infos) -> pa.RecordBatch:
+    from pyarrow import fs
+
+    return pa.RecordBatch.from_pydict({
+        "parent": [parent] * len(infos), "path": [prefix + i.path for i in infos],
+        "is_dir": [i.type == fs.FileType.Directory for i in infos], "length": [i.size or 0 for i in infos],
+        "modificationTime": [None if i.mtime_ns is None else i.mtime_ns // 1000 for i in infos]}, schema=_LISTED)
+
+
+_LISTED = pa.schema([("parent", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()), ("length", pa.int64()),
+                     ("modificationTime", pa.timestamp("us", "UTC"))])
+_LISTED_DDL = "parent STRING, path STRING, is_dir BOOLEAN, length BIGINT, modificationTime TIMESTAMP"
+_BATCH_ROWS = 10_000
+
+
+def _batches(parent: str, prefix: str, infos):
+    for low in range(0, len(infos), _BATCH_ROWS):
+        yield _rows(parent, prefix, infos[low:low + _BATCH_ROWS])
+
+
+def _children(path: str):
+    """Entries directly in a folder, hidden ones left out; a file is its own only entry."""
+    from pyarrow import fs
+
+    system, inner = resolve(path)
+    info = system.get_file_info(inner)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == fs.FileType.Directory:
+        infos = [i for i in system.get_file_info(fs.FileSelector(inner)) if _unhidden(i.base_name)]
+    else:
+        infos = [info]
+    return _batches(path, path[:len(path) - len(inner)], sorted(infos, key=lambda i: i.path))
+
+
+def _files_below(path: str):
+    from pyarrow import fs
+
+    system, inner = resolve(path)
+    infos = [i for i in system.get_file_info(fs.FileSelector(inner, recursive=True))
+             if i.type == fs.FileType.File and all(map(_unhidden, i.path[len(inner) + 1:].split("/")))]
+    return _batches(path, path[:len(path) - len(inner)], sorted(infos, key=lambda i: i.path))
+
+
+def list_children(folders: DataFrame) -> DataFrame:
+    """``parent, path, is_dir, length, modificationTime`` of everything directly in the folders of ``folders(path)``.
+
+    Folders are listed in parallel; empty files and folders are listed too.
+    """
+    ship_package(folders.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                yield from _children(path)
+
+    return folders.select("path").mapInArrow(run, _LISTED_DDL)
+
+
+def roots(spark: SparkSession, path) -> DataFrame:
+    """``(path)`` of the folders or files that a path, a pattern or a list of them names, as Spark spells them."""
+    found = []
+    for one in [path] if isinstance(path, str) else path:
+        whole = qualify(spark, one)
+        if re.search(r"[*?\[{]", whole):
+            pattern = spark._jvm.org.apache.hadoop.fs.Path(whole)
+            matches = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+            found += [status.getPath().toString() for status in matches]
+        else:
+            found.append(whole)
+    return spark.createDataFrame([(f,) for f in found], "path STRING")
+
+
+def matches_glob(name: Column, glob: str) -> Column:
+    """File name patterns with ``*``, ``?`` and ``[...]``."""
+    pattern = "".join({"*": ".*", "?": "."}.get(p) or (p if p.startswith("[") else re.escape(p))
+                      for p in re.findall(r"\[[^\]]*\]|.", glob))
+    return name.rlike(f"^{pattern}$")
+
+
 def list_files(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
-    """``path, length, modificationTime`` of every file below ``path``.
+    """``path, length, modificationTime`` of every file below ``path``, empty files included.
 
-    Spark lists in parallel; the ``content`` column is never asked for, so no file is opened.
+    The folders below the first level are listed in parallel; no file is opened.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    def expand(batches):
+        for batch in batches:
+            yield batch.filter(pc.invert(batch.column(2)))
+            for folder in batch.filter(batch.column(2)).column(1).to_pylist():
+                yield from _files_below(folder)
+
+    first = list_children(roots(spark, path)).repartition(spark.sparkContext.defaultParallelism)
+    files = first.mapInArrow(expand, _LISTED_DDL)
     if glob is not None:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("path", "length", "modificationTime")
+        files = files.where(matches_glob(fx.base_name(F.col("path")), glob))
+    return files.select("path", "length", "modificationTime")
 
 
 def qualify(spark: SparkSession, root: str) -> str:
@@ -60,24 +165,27 @@ def relative_to(path, root: str):
 
 
 def read_listing(spark: SparkSession, unconverted: str, converted: str, processed: str) -> DataFrame:
-    """``listing``: one row per experiment folder and stage, with its newest file's time in ms."""
-    tables = []
-    for stage, root in (
-        ("unconverted", unconverted), ("converted", converted), ("processed", processed)
-    ):
-        below = qualify(spark, root)
-        inside = relative_to(F.col("path"), below)
-        tables.append(
-            list_files(spark, root)
-            .where(inside.contains("/"))
-            .select(
-                F.lit(stage).alias("stage"),
-                F.split(inside, "/")[0].alias("id"),
-                fx.timestamp_to_ms(F.col("modificationTime")).alias("mtime_ms"),
-            )
-        )
-    union = tables[0].unionByName(tables[1]).unionByName(tables[2])
-    return union.groupBy("stage", "id").agg(F.max("mtime_ms").alias("mtime_ms"))
+    """``listing``: one row per experiment folder and stage with the folder's own time in ms; empty folders count.
+
+    A store that keeps no times of folders gives null times, which count as 0.
+    """
+    named = [(stage, qualify(spark, root)) for stage, root in
+             (("unconverted", unconverted), ("converted", converted), ("processed", processed))]
+    stages = spark.createDataFrame(named, "stage STRING, path STRING").repartition(len(named), "stage")
+
+    def run(batches):
+        for batch in batches:
+            for stage, root in zip(*(c.to_pylist() for c in batch.columns)):
+                for listed in _children(root):
+                    folders = listed.filter(listed.column(2))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(pa.scalar(stage), len(folders)), folders.column(1), folders.column(4)],
+                        names=["stage", "path", "moment"])
+
+    ship_package(spark)
+    found = stages.mapInArrow(run, "stage STRING, path STRING, moment TIMESTAMP")
+    return found.select("stage", F.substring_index("path", "/", -1).alias("id"),
+                        F.coalesce(fx.timestamp_to_ms(F.col("moment")), F.lit(0.0)).alias("mtime_ms"))
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -94,3 +202,12 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
             (F.size(parts) - F.lit(1)).alias("depth"),
         )
     )
+
+
+def read_direct_files(spark: SparkSession, root: str) -> DataFrame:
+    """``manifest`` of the files directly in each experiment folder of one stage: one listing a folder."""
+    top = list_children(roots(spark, root)).where("is_dir").repartition(spark.sparkContext.defaultParallelism)
+    files = list_children(top).where(~F.col("is_dir"))
+    return files.select(
+        F.substring_index("parent", "/", -1).alias("id"), "path",
+        F.substring_index("path", "/", -1).alias("file_name"), F.lit(1).alias("depth"))

@@ -1,84 +1,111 @@
-"""Text files as ``lines(source_file, line_no, value)``, numbered without gathering a file in one task."""
+"""Text files as ``lines(source_file, line_no, value)``, numbered by spans: no line is shuffled or joined.
+
+A planning pass counts the lines of each byte range of each file; running sums over that small table say which number
+the first line of each range has. Reading tasks then number the lines of their ranges as they go.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulseframe import schemas
 from pulseframe.functions import scalars as fx
-from pulseframe.operators.joins import join_summary
+from pulseframe.session import materialize, ship_package
+from pulseframe.sources import text_format as fmt
+from pulseframe.sources.files import list_files, open_ranged
 
 DECODERS = {
     "utf-8": lambda value: value,
     "latin-1": fx.decode_latin1,
     "cp1252": fx.decode_cp1252,
 }
+SPLIT_BYTES = 64 << 20
+MIN_SPLIT_BYTES = 4 << 20
+OPEN_COST_BYTES = 4 << 20
 
 
-def text_rows(spark: SparkSession, path, glob: str | None = None, files: Column | None = None) -> DataFrame:
-    """``(url, block, value)`` of every line, in reading order; ``url`` is the file's encoded path.
+def cut(total: int, files: int, parallelism: int, split_bytes: int | None = None) -> tuple[int, int]:
+    """Bytes of a span and number of tasks: large spans for large data, all cores for small data.
 
-    ``files`` is a condition on ``_metadata`` columns; files that fail it are not opened.
+    Opening a file counts as some bytes, so that many small files share a task.
     """
-    _pin_file_splits(spark)
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if glob is not None:
-        reader = reader.option("pathGlobFilter", glob)
-    rows = reader.text(path)
-    if files is not None:
-        rows = rows.where(files)
-    return rows.select(
-        F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("block"), "value")
+    size = split_bytes or max(MIN_SPLIT_BYTES, min(SPLIT_BYTES, total // max(3 * parallelism, 1)))
+    return size, max(1, -(-(total + files * min(OPEN_COST_BYTES, size)) // size))
+
+
+def spans_of(files: DataFrame, split_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """``(files' columns, split, start, stop)`` of ``files(path, length, ...)``, and how many tasks should read them."""
+    totals = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("files")).first()
+    size, tasks = cut(totals["bytes"], totals["files"], files.sparkSession.sparkContext.defaultParallelism, split_bytes)
+    last = F.greatest(F.lit(0).cast("bigint"), F.ceil(F.col("length") / F.lit(size)) - 1)
+    spans = (
+        files.withColumn("split", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        .withColumn("start", F.col("split") * F.lit(size))
+        .withColumn("stop", F.least(F.col("start") + F.lit(size), F.col("length")))
+    )
+    return spans, tasks
 
 
-def block_starts(rows: DataFrame, id_column: str) -> DataFrame:
-    """``(url, block, first_id, n)`` of numbered rows: one small row a file block."""
-    return rows.groupBy("url", "block").agg(
-        F.min(id_column).alias("first_id"), F.count(F.lit(1)).alias("n"))
+def place_spans(counted: DataFrame, size: str = "n", out: str = "first") -> DataFrame:
+    """Add to each span how many lines the earlier spans of its file hold. One row a span, not a line."""
+    earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn(out, F.coalesce(F.sum(size).over(earlier), F.lit(0).cast("bigint")))
 
 
-def rows_before(blocks: DataFrame, size: str = "n") -> DataFrame:
-    """Add ``before``: how many rows the earlier blocks of the file hold."""
-    earlier = (
-        Window.partitionBy("url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return blocks.withColumn("before", F.coalesce(F.sum(size).over(earlier), F.lit(0)))
+def over_spans(read: Callable) -> Callable:
+    """A ``mapInArrow`` function from ``read(handle, row)``, which yields the batches of one span."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                with open_ranged(row["path"]) as handle:
+                    yield from read(handle, row)
+    return run
 
 
-def place_in_block(id_column: str) -> Column:
-    """Row's place in its block. Both passes must have cut the files alike: stop rather than misnumber."""
-    within = F.col(id_column) - F.col("first_id")
-    return F.when(within.between(0, F.col("n") - 1), within).otherwise(
-        F.raise_error(F.lit("file splits changed between the two passes; pin spark.sql.files.minPartitionNum"))
-        .cast("bigint"))
+def _count(handle, row):
+    n = fmt.count_lines(handle, row["length"], row["start"], row["stop"])
+    yield pa.RecordBatch.from_pylist([{**row, "n": n}])
 
 
-def read_lines(spark: SparkSession, path, glob: str | None = None, encoding: str = "utf-8",
-               files: Column | None = None) -> DataFrame:
-    """Lines of every text file below ``path``; ``line_no`` counts from 0 over the whole file.
+def _read(handle, row):
+    number = row["first"]
+    for block in fmt.line_blocks(handle, row["length"], row["start"], row["stop"]):
+        count = len(block)
+        yield pa.RecordBatch.from_arrays(
+            [pa.repeat(pa.scalar(row["path"]), count), pa.array(np.arange(number, number + count)), block.texts()],
+            names=["source_file", "line_no", "value"])
+        number += count
 
-    Large files stay split. A first pass, run when this is called, counts the lines of each file block
-    (one small row a block); the running sum of those counts places every block. Within a block, rows
-    keep the reading order, so the distance to the block's smallest row id is the line's place in it.
-    """
+
+_SPAN = "path STRING, length BIGINT, split BIGINT, start BIGINT, stop BIGINT"
+
+
+def lines_of(files: DataFrame, encoding: str = "utf-8", split_bytes: int | None = None) -> DataFrame:
+    """Lines of the files that a table ``files(path, length)`` names."""
     if encoding not in DECODERS:
         raise ValueError(f"unknown encoding {encoding!r}: use one of {sorted(DECODERS)}")
-    rows = text_rows(spark, path, glob, files).withColumn("row_id", F.monotonically_increasing_id())
-    # The path is decoded once a block, not once a line.
-    blocks = rows_before(block_starts(rows, "row_id")).withColumn(
-        "source_file", fx.decode_file_url(F.col("url")))
-    return join_summary(rows, blocks, ["url", "block"], "left", "line-counts").select(
-        "source_file",
-        (F.col("before") + place_in_block("row_id")).alias("line_no"),
-        DECODERS[encoding](F.col("value")).alias("value"),
-    )
+    ship_package(files.sparkSession)
+    spans, tasks = spans_of(materialize(files.select("path", "length"), "text-files"), split_bytes)
+    counted = spans.repartition(tasks).mapInArrow(over_spans(_count), f"{_SPAN}, n BIGINT")
+    placed = materialize(place_spans(counted), "line-counts").where(F.col("n") > 0)
+    rows = placed.repartition(tasks).mapInArrow(over_spans(_read), schemas.LINES)
+    return rows.withColumn("value", DECODERS[encoding](F.col("value")))
 
 
-def _pin_file_splits(spark: SparkSession) -> None:
-    """Fix what Spark derives file splits from, so that executors joining later do not move them."""
-    key = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+def read_lines(spark: SparkSession, path, glob: str | None = None, encoding: str = "utf-8",
+               files: Column | None = None, split_bytes: int | None = None) -> DataFrame:
+    """Lines of every text file below ``path``; ``line_no`` counts from 0 over the whole file.
+
+    Large files stay split. ``files`` is a condition on the files' ``path``; files that fail it are not opened. The
+    counting pass runs when this is called.
+    """
+    found = list_files(spark, path, glob)
+    return lines_of(found if files is None else found.where(files), encoding, split_bytes)
 
 
 def read_values(spark: SparkSession, path, glob: str | None = None) -> DataFrame:

@@ -25,6 +25,8 @@ NO_SAMPLES = "File ended early"
 
 READ_CHUNK = 8 << 20
 SYNC_RECORDS = 12
+SYNC_WINDOW = 768 << 10
+SYNC_CANDIDATES = 256
 
 # Names of the raw-data folders of an experiment.
 RAW_DATA_FOLDERS = ("FILTERED", "OFFLINE", "RAW", "SCREENSHOTS", "UNFILTERED")
@@ -34,6 +36,7 @@ ARROW_SCHEMA = pa.schema([
     ("CHANNEL", pa.int16()), ("TIMESTAMP", pa.decimal128(20, 0)), ("ENERGY", pa.int16()),
     ("CALIB_ENERGY", pa.float64()), ("ENERGYSHORT", pa.int16()), ("FLAGS", pa.int64()),
     ("WAVEFORM_CODE", pa.int16()), ("samples", pa.list_(pa.int16())),
+    ("extra", pa.map_(pa.string(), pa.string())),
 ])
 
 
@@ -98,32 +101,58 @@ def _counts(buffer, first: int, stride: int, how_many: int) -> np.ndarray:
     return np.ndarray((how_many,), "<u4", buffer, first, (stride,))
 
 
+def _count_at(handle, position: int, fixed: int) -> int:
+    """Sample count of the record at ``position``; four bytes are read."""
+    return int.from_bytes(handle.read_at(4, position + fixed - 4), "little")
+
+
+def _chained(handle, size: int, start: int, fixed: int, n: int, first: int = 0, links: int = SYNC_RECORDS) -> bool:
+    """Whether records of ``n`` samples follow each other from ``start``, as far as the file goes; 4 bytes a link."""
+    stride = fixed + 2 * n
+    for link in range(first, links):
+        position = start + link * stride
+        if position + fixed > size:
+            return True
+        if _count_at(handle, position, fixed) != n:
+            return False
+    return True
+
+
+def predicted_start(boundary: int, stride: int) -> int:
+    """Start of the first record at or after ``boundary`` if all records are ``stride`` bytes long."""
+    return HEADER_SIZE + -(-max(boundary - HEADER_SIZE, 0) // stride) * stride
+
+
 def find_sync(handle, size: int, boundary: int, fixed: int, n: int, window: int) -> int | None:
     """A likely record start at or after ``boundary``; a guess that the caller proves or discards.
 
     The offset every record of length ``fixed + 2n`` would predict is tried first; then any offset
-    of the window that is followed by a chain of records with ``n`` samples.
+    of the window that is followed by a chain of records with ``n`` samples. Chains are probed link by link,
+    so what is read is bounded by the window whatever ``n`` claims.
     """
     if boundary <= HEADER_SIZE:
         return HEADER_SIZE
     stride = fixed + 2 * n
-    predicted = HEADER_SIZE + -(-(boundary - HEADER_SIZE) // stride) * stride
-    chain = SYNC_RECORDS
-    if predicted + fixed <= size:
-        buffer = handle.read_at(min(size - predicted, stride * (chain - 1) + fixed), predicted)
-        links = (len(buffer) - fixed) // stride + 1
-        if (_counts(buffer, fixed - 4, stride, links) == n).all():
-            return predicted
-    buffer = handle.read_at(min(size - boundary, window + stride * chain + fixed), boundary)
-    starts = len(buffer) - fixed + 1
-    if starts < 1:
+    if boundary + fixed > size:
         return None
-    hit = _counts(buffer, fixed - 4, 1, starts) == n
-    good = hit[:max(0, starts - stride * (chain - 1))].copy()
-    for link in range(1, chain):
-        good &= hit[link * stride:link * stride + len(good)]
-    found = np.flatnonzero(good[:window])
-    return boundary + int(found[0]) if len(found) else None
+    predicted = predicted_start(boundary, stride)
+    if predicted + fixed <= size and _chained(handle, size, predicted, fixed, n):
+        return predicted
+    window = min(window, SYNC_WINDOW)
+    buffer = handle.read_at(min(size - boundary, window + fixed), boundary)
+    starts = len(buffer) - fixed + 1
+    good = _counts(buffer, fixed - 4, 1, starts) == n
+    whole = max(0, min(starts, size - boundary - fixed - stride * (SYNC_RECORDS - 1) + 1))
+    good = good[:min(whole, window)].copy()
+    inside = 1  # links that lie in the window are looked at together
+    while inside < SYNC_RECORDS and inside * stride < starts:
+        reach = min(len(good), starts - inside * stride)
+        good[:reach] &= _counts(buffer, inside * stride + fixed - 4, 1, reach) == n
+        inside += 1
+    for at in np.flatnonzero(good)[:SYNC_CANDIDATES]:
+        if _chained(handle, size, boundary + int(at), fixed, n, 1):
+            return boundary + int(at)
+    return None
 
 
 def scan_runs(handle, size: int, start: int, stop: int, fixed: int, n: int):
@@ -275,6 +304,7 @@ def to_arrow(parts: list[np.ndarray], path: str, first_idx: int, with_samples: b
     for name, kind, stored in (("ENERGY", pa.int16(), "i2"), ("CALIB_ENERGY", pa.float64(), "f8"),
                                ("ENERGYSHORT", pa.int16(), "i2"), ("WAVEFORM_CODE", pa.int16(), "i2")):
         columns[name] = field(name, kind, stored)
+    columns["extra"] = pa.nulls(count, ARROW_SCHEMA.field("extra").type)
     list_type = pa.list_(pa.int16())
     if "n" not in names or not with_samples:
         columns["samples"] = pa.nulls(count, list_type)

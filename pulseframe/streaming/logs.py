@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulseframe.operators.logs import at_least, drop_noise, parse_logs, project_logs
+from pulseframe.sources import growing_text
 
 
-def read_log_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Lines of the log files that land in ``folder``.
+def read_log_stream(spark: SparkSession, folder: str, glob: str = "*", latest: bool = False) -> DataFrame:
+    """Lines of the log files in ``folder``, as they are completed; files may still be growing.
 
-    A file must land complete (written elsewhere, then renamed): a file stream reads each file once and
-    does not follow one that is still growing.
+    ``latest`` leaves out what is there when the stream starts.
     """
-    reader = spark.readStream.format("text")
-    if files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(folder)
+    growing_text.register(spark)
+    return (
+        spark.readStream.format(growing_text.FORMAT).option("pathGlobFilter", glob)
+        .option("startingOffsets", "latest" if latest else "earliest").load(folder)
+    )
 
 
-def log_stream(spark: SparkSession, folder: str, lowest: str = "NOTSET",
-               files_per_trigger: int | None = None) -> DataFrame:
+def log_stream(spark: SparkSession, folder: str, lowest: str = "NOTSET", glob: str = "*",
+               latest: bool = False) -> DataFrame:
     """Displayed log rows: noise removed, projected, at the chosen level or above. Stateless."""
-    lines = read_log_stream(spark, folder, files_per_trigger)
+    lines = read_log_stream(spark, folder, glob, latest)
     return at_least(project_logs(drop_noise(parse_logs(lines))), lowest)

@@ -6,7 +6,8 @@ import pytest
 from binfile import record, write
 from pulseframe import sinks
 from pulseframe.operators import listmode as lm
-from pulseframe.plans.conversion import convert_experiment
+from pulseframe.plans.conversion import convert_experiment, convert_folder
+from pulseframe.plans.inventory_view import current_inventory
 from pulseframe.sources.tables import read_conversion_logs
 from pulseframe.streaming.conversion import continuous_conversion, converted_so_far, status_so_far
 from pulseframe.streaming.logs import log_stream
@@ -145,3 +146,80 @@ def test_wide_samples_cut_nothing(spark):
     assert sorted(map(tuple, lm.samples_wide(rows, 3).collect())) == [(1, 1, 2, 3), (2, 4, None, None)]
     with pytest.raises(Exception, match="more than 2 samples"):
         lm.samples_wide(rows, 2).collect()
+
+
+def test_growing_log_loses_no_line(spark, tmp_path):
+    """Lines appended to a file, a line completed later, a new file, and a file started anew."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+
+    def caught_up():
+        stream = log_stream(spark, str(folder), "INFO", glob="*.log")
+        (stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+         .trigger(availableNow=True).start(str(tmp_path / "o")).awaitTermination())
+        return spark.read.schema(stream.schema).parquet(str(tmp_path / "o")).count()
+
+    line = log_line(40, "ERROR") + "\n"
+    (folder / "a.log").write_text(line * 3 + line[:30])
+    (folder / "other.txt").write_text(line)
+    assert caught_up() == 3
+    assert caught_up() == 3
+    with open(folder / "a.log", "a") as log:
+        log.write(line[30:] + line + line[:-1])
+    (folder / "b.log").write_text(line)
+    assert caught_up() == 6
+    with open(folder / "a.log", "a") as log:
+        log.write("\n")
+    assert caught_up() == 7
+    (folder / "b.log").write_text(log_line(50, "CRITICAL")[:40])
+    assert caught_up() == 7
+    (folder / "b.log").write_text(log_line(50, "CRITICAL") + "\n" + line)
+    assert caught_up() >= 8
+
+
+def test_metadata_is_replaced_by_experiment(spark, tmp_path):
+    dest = str(tmp_path / "experiments")
+
+    def row(name, text):
+        return spark.createDataFrame([(name, text, None, True)], "exp_id STRING, desc STRING, exp_start TIMESTAMP, "
+                                     "from_run_info_file BOOLEAN")
+    for name, text in (("20240101_A", "first"), ("20240101_B", "b"), ("20240101_A", "second"), (None, "x")):
+        sinks.write_experiments(row(name, text), dest)
+    assert sorted((r.exp_id, r.desc) for r in sinks.read_experiments(spark, dest).collect()) == [
+        ("20240101_A", "second"), ("20240101_B", "b")]
+
+
+def test_convert_a_folder_of_experiments(spark, tmp_path):
+    """From the folder to the inventory: classes, file limit, channel folders, metadata, logs."""
+    source, dest, done = tmp_path / "in", str(tmp_path / "out"), tmp_path / "converted"
+    for name in ("TB-1", "TB-2", "TB-3", "TB-4"):
+        for folder in ("RAW", "FILTERED", "UNFILTERED/deep"):
+            (source / name / folder).mkdir(parents=True)
+        (source / name / "settings.xml").write_text("")
+        (source / name / "run.info").write_text(f"id={name}\ntime.start=2023/01/05 23:30:00.123-0600\n")
+    write(source / "TB-1" / "UNFILTERED" / "SData_0.bin", 1, [record(1, energy=i) for i in range(4)])
+    write(source / "TB-1" / "UNFILTERED" / "SData_1.bin", 1, [record(1, energy=9)], b"\1")
+    write(source / "TB-1" / "UNFILTERED" / "deep" / "SData_2.bin", 1, [record(1, energy=99)])
+    (source / "TB-2" / "UNFILTERED" / "SData.csv").write_text("CHANNEL;ENERGY\n0;5\n")
+    (source / "TB-3" / "UNFILTERED" / "Data_CH1.csv").write_text("CHANNEL;ENERGY\n0;6\n")
+    (source / "TB-3" / "UNFILTERED" / "aPSDspectrum.txt").write_text("1\n2\n")
+    meter = b"FH40G\nserial\nunit\nDATE\tTIME\n2024-01-02\t03:04:05\t1\tm\t2\tcps\tok\n"
+    (source / "day.log").write_bytes(meter)
+    for _ in range(2):
+        found = convert_folder(spark, str(source), dest, fresh=True, log_root=str(done))
+    assert {r.source.rsplit("/", 1)[-1]: r.source_class for r in found.collect()} == {
+        "TB-1": "listmode_bin", "TB-2": "listmode_csv_single", "TB-3": "listmode_csv_dual", "TB-4": "unsupported",
+        "day.log": "dose_meter"}
+    rows = sinks.read_listmode_table(spark, f"{dest}/listmode").collect()
+    assert sorted((r.experiment_id, r.ENERGY, r.file_channel) for r in rows) == [
+        ("TB-1", i, None) for i in (0, 1, 2, 3, 9)] + [("TB-2", 5, None), ("TB-3", 6, "ch1")]
+    assert sorted(r.exp_id for r in sinks.read_experiments(spark, f"{dest}/experiments").collect()) == [
+        "20230105_TB-1", "20230105_TB-2", "20230105_TB-3"]
+    assert spark.read.parquet(f"{dest}/wendi").count() == 1
+    assert spark.read.parquet(f"{dest}/spectra/psd_spectrum").count() == 2
+    (tmp_path / "processed").mkdir()
+    states = {r.id: r.converted_state for r in
+              current_inventory(spark, str(source), str(done), str(tmp_path / "processed")).collect()}
+    assert states == {"TB-1": "malformed", "TB-2": "present", "TB-3": "present", "TB-4": "absent", "day": "present"}
+    convert_folder(spark, str(source), dest, fresh=True, file_limit=1)
+    assert sinks.read_listmode_table(spark, f"{dest}/listmode").where("experiment_id = 'TB-1'").count() == 4

@@ -4,13 +4,22 @@ import math
 import tarfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 
+from pulseframe import sinks
 from pulseframe.functions import scalars as fx
 from pulseframe.operators import devicelog, doselog, listmode as lm, logs, metadata, reactor as rx, spectra
+from pulseframe.operators import joins
 from pulseframe.operators.inventory import classify_sources, limit_files
 from pulseframe.operators.positions import sorted_positions, with_record_idx
+from pulseframe.plans.conversion import convert_listmode_csv
+from pulseframe.plans.inventory_view import current_inventory
+from pulseframe.sources import text_format as fmt
+from pulseframe.sources.files import list_files
 from pulseframe.sources.lines import read_lines
+from pulseframe.sources.manifest import classified_sources
 from pulseframe.sources.reactor import read_reactor_archives, reactor_members
 from pyspark.sql import functions as F
 
@@ -273,3 +282,128 @@ def test_bin_low_bounds_follow_the_customary_order(spark, lines):
     rows = spectra.parse_psd_spectrum(lines({"x": ["1"] * 49})).collect()
     width = 1 / 49
     assert all(math.isclose(r["bin_psd"], r["bin_idx"] * width, rel_tol=0, abs_tol=0) for r in rows)
+
+
+def naive_lines(data):
+    """Lines as universal newlines give them, without a last empty one."""
+    text = data.replace(b"\r\n", b"\n").replace(b"\r", b"\n")
+    return text.split(b"\n")[:-1] if text.endswith(b"\n") else text.split(b"\n") if text else []
+
+
+class Bytes:
+    def __init__(self, data):
+        self.data = data
+
+    def read_at(self, size, offset):
+        return self.data[offset:offset + size]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab\n\r", max_size=40), st.integers(1, 12), st.integers(1, 9), st.lists(st.integers(0, 40), max_size=4))
+def test_byte_ranges_give_whole_lines(text, split, chunk, stops):
+    """Any cut of a file into ranges and chunks gives its lines once, in order."""
+    data = text.encode()
+    handle, size = Bytes(data), len(data)
+    got, counted = [], 0
+    for start in range(0, size, split):
+        stop = min(start + split, size)
+        for block in fmt.line_blocks(handle, size, start, stop, chunk):
+            got += [t.encode() for t in block.texts().to_pylist()]
+        counted += fmt.count_lines(handle, size, start, stop)
+    assert got == naive_lines(data) and counted == len(got)
+    # As the file grows: a line is given when its line feed is there.
+    seen, at = [], 0
+    for stop in sorted({min(s, size) for s in stops} | {size}):
+        seen += list(fmt.completed_lines(handle, at, stop, chunk)) if stop > at else []
+        at = stop
+    assert [t for _, t in seen] == [t.removesuffix(b"\r") for t in data.split(b"\n")[:-1]]
+    assert all(o == 0 or data[o - 1] == 10 for o, _ in seen)
+
+
+def test_csv_scan_shuffles_no_lines(spark, tmp_path, monkeypatch):
+    """Spans carry all that is needed: with no broadcast allowed, lines are neither exchanged nor joined."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    folder = tmp_path / "e1" / "UNFILTERED"
+    folder.mkdir(parents=True)
+    (folder / "SData.csv").write_text("CHANNEL;BASELINE;ENERGY;NOTE\n0;1.5;5;NA\n\n1;2;3;4;5\n")
+    (folder / "SData_1.csv").write_text("".join(f"1;b{i};{i}\n" for i in range(500)))
+    rows = lm.read_listmode_csv(spark, str(tmp_path), split_bytes=64)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    assert "Join" not in plan[:plan.index("MapInArrow")] and "Exchange" not in plan[:plan.index("MapInArrow")]
+    assert below.count("RoundRobinPartitioning") == 1  # spans, not lines, are dealt out
+    by_file = {}
+    for r in rows.collect():
+        by_file.setdefault(r.source_file.split("/")[-1], []).append((r.record_idx, r.CHANNEL, r.ENERGY, r.extra))
+    assert by_file["SData.csv"] == [(0, 0, 5, {"BASELINE": "1.5", "NOTE": None})]
+    assert sorted(by_file["SData_1.csv"], key=lambda r: r[0]) == [
+        (i, 1, i, {"BASELINE": f"b{i}", "NOTE": None}) for i in range(500)]
+    text = lm.parse_listmode_csv(read_lines(spark, str(tmp_path), "*.csv", split_bytes=50))
+    columns = ["record_idx", "CHANNEL", "ENERGY", "extra"]
+    assert sorted(map(str, text.select(*columns).collect())) == sorted(map(str, rows.select(*columns).collect()))
+
+
+def test_csv_headers_come_from_the_right_files(spark, tmp_path):
+    folder = tmp_path / "e1" / "UNFILTERED"
+    (folder / "old").mkdir(parents=True)
+    (folder / "AAA.csv").write_text("X\n1\n")
+    (folder / "SData.csv").write_text("CHANNEL;ENERGY\n0;5\n")
+    (folder / "SData_1.csv").write_text("0;6\n")
+    (folder / "old" / "x_1.csv").write_text("7;8\n")  # no header there
+    dest = str(tmp_path / "out")
+    convert_listmode_csv(spark, str(folder), dest, prefix="SData")
+    assert sorted(r.ENERGY for r in sinks.read_listmode_table(spark, dest).collect()) == [5, 6]
+    convert_listmode_csv(spark, str(folder), dest + "2", prefix="SData", file_limit=2)  # AAA.csv and SData.csv
+    assert [r.ENERGY for r in sinks.read_listmode_table(spark, dest + "2").collect()] == [5]
+    with pytest.raises(Exception, match="Could not find csv file with headers"):
+        lm.read_listmode_csv(spark, str(folder), prefix="[Sx]").collect()
+    (folder / "old" / "a.csv").write_text("Y\n1;2\n1;2\n")
+    with pytest.raises(ValueError, match="no line fits"):
+        lm.read_listmode_csv(spark, str(folder / "old"))
+
+
+def test_listing_of_empty_folders_and_files(spark, tmp_path):
+    """Presence of experiments whose folders are empty; files below folders do not change a folder's time."""
+    for stage, names in {"unc": ["ID-UNC", "ID-UNC-CON", "ID-UNC-PRO", "ID-ALL"], "con": ["ID-UNC-CON", "ID-CON-PRO", "ID-ALL"],
+                         "pro": ["ID-UNC-PRO", "ID-CON-PRO", "ID-ALL"]}.items():
+        for name in names:
+            (tmp_path / stage / name).mkdir(parents=True)
+    (tmp_path / "unc" / "stray.txt").write_text("")
+    (tmp_path / "pro" / "ID-ALL" / "result.csv").write_text("")
+    roots = [str(tmp_path / s) for s in ("unc", "con", "pro")]
+    rows = {r.id: r for r in current_inventory(spark, *roots).collect()}
+    seen = {i: tuple(r[f"{s}_state"] for s in ("unconverted", "converted", "processed")) for i, r in rows.items()}
+    assert seen == {
+        "ID-UNC": ("present", "absent", "absent"), "ID-UNC-CON": ("present", "malformed", "absent"),
+        "ID-UNC-PRO": ("present", "absent", "malformed"), "ID-CON-PRO": ("absent", "malformed", "malformed"),
+        "ID-ALL": ("present", "malformed", "present")}
+    assert rows["ID-UNC"].unconverted_mtime == pytest.approx((tmp_path / "unc" / "ID-UNC").lstat().st_mtime * 1000, abs=0.01)
+    files = {r.path.rsplit("/", 1)[-1]: r.length for r in list_files(spark, str(tmp_path)).collect()}
+    assert files == {"stray.txt": 0, "result.csv": 0}
+    assert list_files(spark, f"{tmp_path}/*/ID-ALL", "*.[cC]SV").count() == 0
+    assert list_files(spark, [f"{tmp_path}/p*", f"{tmp_path}/unc"], "*.*").count() == 2
+
+
+def test_sources_are_classified_from_storage(spark, tmp_path):
+    def put(*paths, text=""):
+        for path in paths:
+            (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / path).write_text(text)
+
+    for name in "abcde":
+        put(f"{name}/run.info", f"{name}/settings.xml")
+        for folder in ("RAW", "FILTERED", "UNFILTERED"):
+            (tmp_path / name / folder).mkdir(parents=True, exist_ok=True)
+    put("a/UNFILTERED/SData_1.BIN", "a/UNFILTERED/SData.csv", "b/UNFILTERED/SData_1.csv", "c/UNFILTERED/Data_CH0.CSV",
+        "d/UNFILTERED/deep/SData_1.bin", "e/RAW/SDataR_2.bin", "e/UNFILTERED/SData_1.bin", "e/plain.log", "f/UNFILTERED/SData_1.bin")
+    put("day.LOG", text="FH40G-L10\nx\n")
+    sources = ["a", "b/UNFILTERED", "c", "c/UNFILTERED", "d", "e/RAW", "e/plain.log", "e/UNFILTERED/SData_1.bin", "f", "day.LOG"]
+    table = spark.createDataFrame([(f"{tmp_path}/{s}",) for s in sources], "source STRING")
+    short = lambda p: None if p is None else p.removeprefix(f"{tmp_path}/")
+    got = {short(r.source): (short(r.root), r.source_class) for r in classified_sources(table).collect()}
+    assert got == {
+        "a": ("a", "listmode_bin"), "b/UNFILTERED": ("b", "listmode_csv_single"), "c": ("c", "listmode_csv_dual"),
+        "c/UNFILTERED": (None, "unsupported"), "d": (None, "unsupported"), "e/RAW": ("e", "listmode_bin"),
+        "e/plain.log": ("e", "listmode_bin"), "e/UNFILTERED/SData_1.bin": ("e", "listmode_bin"), "f": (None, "unsupported"),
+        "day.LOG": ("day.LOG", "dose_meter")}
