@@ -15,11 +15,13 @@ from pulseframe.operators import reactor as rx
 from pulseframe.operators import spectra
 from pulseframe.plans import stand_ins as si
 from pulseframe.plans.analysis import plan_analyses, plan_processing
-from pulseframe.plans.conversion import CSV_CLASSES, convert_listmode_csv
+from pulseframe.plans.conversion import CSV_CLASSES, convert_folder, convert_listmode_csv
 from pulseframe.plans.inventory_view import current_inventory
 from pulseframe.session import scratch_path
 from pulseframe.sources import listmode_bin as lb
 from pulseframe.sources.files import list_files
+from pulseframe.sources.lines import read_lines
+from pulseframe.sources.manifest import classified_sources, sources_in
 from pulseframe.sources.reactor import read_reactor_archives, reactor_members
 from pulseframe.sources.tables import load_overrides, save_overrides
 from pulseframe.streaming.conversion import continuous_conversion, converted_so_far
@@ -148,6 +150,16 @@ def listmode_bin_waveforms(spark, sf_dir):
     return _wave_facts(lb.read_listmode(spark, si.waveform_bin_files(spark, sf_dir), split_bytes=4096))
 
 
+@query(_WAVES + _WAVE_SELECT + """
+FROM (SELECT *, row_number() OVER (PARTITION BY file_no ORDER BY vec_id) - 1 AS record_idx FROM v)
+""")
+def listmode_format_waveforms(spark, sf_dir):
+    """The data source on files with waveforms, each cut into several tasks."""
+    lb.register(spark)
+    folder = si.waveform_bin_files(spark, sf_dir)
+    return _wave_facts(spark.read.format("listmode_bin").option("splitBytes", "4096").load(folder))
+
+
 @query(_WAVES + _WAVE_SELECT + "FROM k")
 def listmode_sample_mismatch(spark, sf_dir):
     """Records with another sample count than the file's first are skipped, without using an index."""
@@ -229,6 +241,22 @@ def listmode_csv_scan(spark, sf_dir):
     return _csv_columns(lm.read_listmode_csv(spark, si.csv_files(spark, sf_dir)))
 
 
+@query(_EVENTS + """
+SELECT 'SData_' || CAST(event_id // 4096 AS VARCHAR) || '.csv' AS file_name,
+       row_number() OVER (PARTITION BY event_id // 4096 ORDER BY event_id) - 1 AS record_idx, user_id % 4 AS channel,
+       CAST(event_id AS VARCHAR) AS stamp, 'b' || CAST(k AS VARCHAR) AS baseline,
+       CASE WHEN k >= 50 THEN event_type END AS note, CAST(2 AS BIGINT) AS n_extra
+FROM e UNION ALL SELECT 'SData.csv', 0, 0, '0', '0', '0', 2
+""")
+def listmode_csv_extra(spark, sf_dir):
+    """Columns without a place in the list-mode table are kept by name; spans of a few KB."""
+    rows = lm.read_listmode_csv(spark, si.extra_csv_files(spark, sf_dir), split_bytes=20_000)
+    return rows.select(
+        _file_name(), "record_idx", F.col("CHANNEL").cast("bigint").alias("channel"),
+        F.col("TIMESTAMP").cast("string").alias("stamp"), F.col("extra")["BASELINE"].alias("baseline"),
+        F.col("extra")["NOTE"].alias("note"), F.size("extra").cast("bigint").alias("n_extra"))
+
+
 @query(_EVENTS + """
 SELECT event_id, CAST(user_id % 4 AS VARCHAR) AS channel_text,
        CASE WHEN k <> 50 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS energy_text,
@@ -501,6 +529,18 @@ def run_info(spark, sf_dir):
         F.unix_millis("exp_start").alias("start_ms"), "from_run_info_file", "reason")
 
 
+@query(ORACLES["run_info"])
+def run_info_scan(spark, sf_dir):
+    """Run info read from its files."""
+    lines = si.run_info_lines(spark, sf_dir)
+    order = F.regexp_extract("source_file", "[0-9]+", 0).cast("bigint")
+    root = si.text_files(lines.withColumn("task", F.floor(order / 500)), "run-info", by="task")
+    rows = metadata.parse_run_info(read_lines(spark, root, "run.info"))
+    return rows.select(
+        fx.base_name(fx.folder_of(F.col("source_file"))).alias("run"), "exp_id", F.col("desc").alias("descr"),
+        F.unix_millis("exp_start").alias("start_ms"), "from_run_info_file", "reason")
+
+
 @query("""
 SELECT 'data/' || CAST(o_orderkey AS VARCHAR) AS folder,
   CASE WHEN o_orderpriority = '5-LOW' THEN NULL
@@ -540,6 +580,17 @@ def device_parameters(spark, sf_dir):
                        F.col("Data").alias("data"), F.col("Unit").alias("unit"))
 
 
+@query(_DEVICES.replace("event_id, CAST", "event_type, event_id, CAST") + """
+SELECT event_type AS experiment_id, device, param, name, CAST(event_id AS VARCHAR) AS reading_time,
+       'µ;' || CAST(data AS VARCHAR) AS data, 'u' AS unit FROM n
+""")
+def device_log_scan(spark, sf_dir):
+    """Device logs read from files of several experiments."""
+    rows = devicelog.name_parameters(devicelog.read_device_log(spark, si.device_log_files(spark, sf_dir)))
+    return rows.select("experiment_id", "device", "param", "name", F.col("Time").alias("reading_time"),
+                       F.col("Data").alias("data"), F.col("Unit").alias("unit"))
+
+
 @query(_DEVICES + "SELECT device, param, count(*) AS n_rows FROM n GROUP BY device, param")
 def device_groups(spark, sf_dir):
     return devicelog.group_parameters(si.device_log(spark, sf_dir))
@@ -656,6 +707,19 @@ def inventory_from_folders(spark, sf_dir):
     return rows.select("id", "unconverted_state", "converted_state", "processed_state")
 
 
+@query("""
+SELECT 'ID-' || CAST(s_suppkey AS VARCHAR) AS id, 'present' AS unconverted_state,
+       CASE WHEN s_nationkey >= 15 THEN 'absent' ELSE 'malformed' END AS converted_state,
+       CASE WHEN s_nationkey >= 8 THEN 'absent' ELSE 'malformed' END AS processed_state
+FROM supplier
+""")
+def inventory_empty_folders(spark, sf_dir):
+    """Empty experiment folders count as present; without log or result they are malformed where those are due."""
+    root = si.empty_folders(spark, sf_dir)
+    rows = current_inventory(spark, f"{root}/unconverted", f"{root}/converted", f"{root}/processed")
+    return rows.select("id", "unconverted_state", "converted_state", "processed_state")
+
+
 _OVERRIDES = """,
 ov AS (
   SELECT n_nationkey AS seq, 'ID-' || CAST(n_nationkey AS VARCHAR) || '[0-9][0-9]' AS pattern,
@@ -850,6 +914,63 @@ def source_classes(spark, sf_dir):
     return inv.classify_sources(si.source_manifest(spark, sf_dir))
 
 
+_SOURCES = """
+WITH s AS (
+  SELECT s_suppkey AS key, s_nationkey AS nation, s_acctbal < 0 AS in_debt,
+         CASE WHEN s_nationkey % 5 = 3 THEN 'day-' ELSE 'TB-' END || CAST(s_suppkey AS VARCHAR) AS id,
+         CASE s_nationkey % 5 WHEN 0 THEN 'listmode_bin' WHEN 1 THEN 'listmode_csv_single'
+              WHEN 2 THEN 'listmode_csv_dual' WHEN 3 THEN 'dose_meter' ELSE 'unsupported' END AS source_class
+  FROM supplier)
+"""
+
+
+def _source_id(path):
+    return F.regexp_replace(fx.base_name(F.col(path)), r"\.log$", "").alias("id")
+
+
+@query(_SOURCES + """
+SELECT id, source_class, CASE WHEN source_class = 'dose_meter' THEN id || '.log'
+       WHEN source_class <> 'unsupported' THEN id END AS root_name FROM s
+""")
+def classify_from_folders(spark, sf_dir):
+    """Sources found, rooted and classified on storage."""
+    found = classified_sources(sources_in(spark, f"{si.source_folders(spark, sf_dir)}/in"))
+    return found.select(_source_id("source"), "source_class", fx.base_name(F.col("root")).alias("root_name"))
+
+
+@query(_SOURCES + """
+SELECT id, source_class,
+  CASE source_class WHEN 'listmode_bin' THEN 4 WHEN 'dose_meter' THEN 3 WHEN 'unsupported' THEN 0 ELSE 2 END AS n_rows,
+  CAST(CASE source_class WHEN 'listmode_bin' THEN nation + key % 100 + 8 WHEN 'dose_meter' THEN 3 * nation
+       WHEN 'unsupported' THEN 0 ELSE nation + key % 100 END AS DOUBLE) AS total,
+  CASE WHEN source_class = 'listmode_csv_dual' THEN 'ch0,ch1' ELSE '' END AS channels,
+  CASE WHEN source_class NOT IN ('dose_meter', 'unsupported') THEN '20230105_' || id END AS exp_id,
+  CASE WHEN source_class = 'unsupported' THEN 'absent' WHEN source_class = 'listmode_bin' AND in_debt THEN 'malformed'
+       ELSE 'present' END AS converted_state
+FROM s
+""")
+def conversion_from_storage(spark, sf_dir):
+    """A folder of sources converted in one go: what the tables, the metadata and the inventory then say of each."""
+    root, out = si.source_folders(spark, sf_dir), scratch_path(spark, "converted")
+    classified = convert_folder(spark, f"{root}/in", f"{out}/data", fresh=True, log_root=f"{out}/logs")
+    events = sinks.read_listmode_table(spark, f"{out}/data/listmode").select(
+        F.col("experiment_id").alias("id"), F.col("ENERGY").cast("double").alias("amount"), "file_channel")
+    doses = spark.read.parquet(f"{out}/data/wendi").select(
+        _source_id("source_file"), F.col("VALUE_INT").alias("amount"), F.lit(None).cast("string").alias("file_channel"))
+    facts = events.unionByName(doses).groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("sum"),
+        F.array_join(F.array_sort(F.collect_set("file_channel")), ",").alias("folders"))
+    known = sinks.read_experiments(spark, f"{out}/data/experiments").select(
+        "exp_id", F.split_part("exp_id", F.lit("_"), F.lit(2)).alias("id"))
+    states = current_inventory(spark, f"{root}/in", f"{out}/logs", f"{root}/processed").select("id", "converted_state")
+    return (
+        classified.select(_source_id("source"), "source_class").join(facts, "id", "left").join(known, "id", "left")
+        .join(states, "id", "left")
+        .select("id", "source_class", F.coalesce("n", F.lit(0)).alias("n_rows"),
+                F.coalesce("sum", F.lit(0.0)).alias("total"), F.coalesce("folders", F.lit("")).alias("channels"),
+                "exp_id", "converted_state"))
+
+
 @query("""
 WITH f AS (SELECT l_suppkey, l_returnflag,
   CASE WHEN l_returnflag = 'R' THEN 'Data_CH1_' ELSE 'SData_' END || lpad(CAST(l_orderkey AS VARCHAR), 12, '0')
@@ -940,6 +1061,18 @@ def log_tail(spark, sf_dir):
     return spark.read.schema(stream.schema).parquet(out)
 
 
+@query(_LOGS + f"SELECT {_LOG_COLUMNS} FROM r WHERE user_id NOT IN (1, 2) AND level_no >= 20")
+def log_tail_growing(spark, sf_dir):
+    """The stream over files that grow between its runs; they are cut within a line at first."""
+    folder, out = scratch_path(spark, "growing-logs"), scratch_path(spark, "log-tail")
+    for share in (0.37, 0.81, 1.0):
+        si.grow_logs(spark, sf_dir, folder, share)
+        stream = log_stream(spark, folder, "INFO", glob="*.log")
+        (stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint")
+         .trigger(availableNow=True).start(out).awaitTermination())
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 @query(_BIN_ROWS + _BIN_SELECT)
 def continuous_conversion_run(spark, sf_dir):
     """Binary files converted as they land, sixteen files a batch."""
@@ -1024,10 +1157,12 @@ SELECT strftime(o_orderdate, '%Y%m%d') || '_TB-' || CAST(o_orderkey AS VARCHAR)
 FROM orders WHERE o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED')
 """)
 def sink_experiments(spark, sf_dir):
+    """Written twice: the rows of the second run replace those of the first."""
     dest = scratch_path(spark, "experiments")
     rows = metadata.parse_run_info(si.run_info_lines(spark, sf_dir)).where("reason = 'OK'")
-    sinks.write_experiments(rows, dest)
-    return spark.read.parquet(dest).select("exp_id", F.unix_millis("exp_start").alias("start_ms"))
+    for _ in range(2):
+        sinks.write_experiments(rows, dest)
+    return sinks.read_experiments(spark, dest).select("exp_id", F.unix_millis("exp_start").alias("start_ms"))
 
 
 @query(_DEVICES + """

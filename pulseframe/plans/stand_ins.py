@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.session import scratch_path, ship_package
-from pulseframe.sources.files import write_whole
+from pulseframe.sources.files import resolve, write_whole
 
 RECORDS_PER_FILE = 4096
 VECTORS_PER_FILE = 100
@@ -151,18 +151,19 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_header_file(data, CSV_HEADER, "0;0;0;1;1;0x0")
 
 
-def text_files(lines: DataFrame, label: str, encoding: str = "utf-8", root: str | None = None) -> str:
-    """Folder with ``lines(source_file, line_no, value)`` as files, each written by one task."""
+def text_files(lines: DataFrame, label: str, encoding: str = "utf-8", root: str | None = None,
+               by: str = "source_file") -> str:
+    """Folder with ``lines(source_file, line_no, value)`` as files; those of a value of ``by`` are written by one task."""
     spark = lines.sparkSession
     ship_package(spark)
     root = root or scratch_path(spark, label)
 
     def write(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("line_no")
-        write_whole(f"{root}/{ordered['source_file'].iloc[0]}", ("\n".join(ordered["value"]) + "\n").encode(encoding))
-        return pd.DataFrame({"n": [len(ordered)]})
+        for name, ordered in frame.sort_values("line_no").groupby("source_file"):
+            write_whole(f"{root}/{name}", ("\n".join(ordered["value"]) + "\n").encode(encoding))
+        return pd.DataFrame({"n": [len(frame)]})
 
-    lines.groupBy("source_file").applyInPandas(write, "n BIGINT").write.format("noop").mode("overwrite").save()
+    lines.groupBy(by).applyInPandas(write, "n BIGINT").write.format("noop").mode("overwrite").save()
     return root
 
 
@@ -487,8 +488,8 @@ def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).cast("bigint").alias("n_records"), F.lit(0).cast("bigint").alias("n_skipped"))
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON log lines; not JSON for k < 5, without a message for k = 7, noise for users 1 and 2."""
+def log_lines(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """JSON log lines after the ``keys`` of their events; not JSON for k < 5, without a message for k = 7, noise for users 1 and 2."""
     e = events(spark, sf_dir)
     kind = F.col("event_type")
     level = (
@@ -513,31 +514,128 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         named.alias("process"), named.alias("thread"),
         F.struct(F.col("event_id").cast("string").alias("repr"), F.lit(0.5).alias("timestamp")).alias("time"))
     line = F.to_json(F.struct(text.alias("text"), record.alias("record")))
-    return e.select(F.when(F.col("k") < 5, F.lit("Traceback (most recent call last):"))
+    return e.select(*keys, F.when(F.col("k") < 5, F.lit("Traceback (most recent call last):"))
                     .otherwise(line).alias("value"))
 
 
-SUPPLIERS_PER_TASK = 500
+def grow_logs(spark: SparkSession, sf_dir: str, folder: str, share: float) -> None:
+    """Log files of a bounded id range each, written up to a share of their bytes: lines are cut anywhere."""
+    ship_package(spark)
+    lines = log_lines(spark, sf_dir, "event_id").withColumn("file_no", F.floor(F.col("event_id") / RECORDS_PER_FILE))
 
+    def write(frame: pd.DataFrame) -> pd.DataFrame:
+        ordered = frame.sort_values("event_id")
+        data = ("\n".join(ordered["value"]) + "\n").encode()
+        write_whole(f"{folder}/{int(ordered['file_no'].iloc[0])}.log", data[:int(len(data) * share)])
+        return pd.DataFrame({"n": [len(ordered)]})
 
-def experiment_folders(spark: SparkSession, sf_dir: str) -> str:
-    """Three stage roots with a folder a supplier: all unconverted, nations below 15 converted (with an
-    error in the log when in debt), nations below 8 processed (without a csv when in debt)."""
+    lines.groupBy("file_no").applyInPandas(write, "n BIGINT").write.format("noop").mode("overwrite").save()
+
+
+def extra_csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """Delimited files with two columns that list-mode tables have no place for."""
+    e = events(spark, sf_dir)
+    note = F.when(F.col("k") < 50, F.lit("NA")).otherwise(F.col("event_type"))
+    data = e.select(
+        F.concat(F.lit("x/UNFILTERED/SData_"), F.floor(F.col("event_id") / RECORDS_PER_FILE).cast("string"), F.lit(".csv"))
+        .alias("source_file"), F.col("event_id").alias("line_no"),
+        F.concat_ws(";", (F.col("user_id") % 4).cast("string"), F.concat(F.lit("b"), F.col("k").cast("string")),
+                    F.col("event_id").cast("string"), note).alias("value"))
+    return text_files(_with_header_file(data, "CHANNEL;BASELINE;TIMETAG;NOTE", "0;0;0;0"), "extra-csv")
+
+
+def device_log_files(spark: SparkSession, sf_dir: str) -> str:
+    """Headerless device logs in latin-1, one of a bounded id range in the folder of each event type."""
+    rows = device_log(spark, sf_dir)
+    e = events(spark, sf_dir).select(F.col("event_id").cast("string").alias("Time"), "event_type", "event_id")
+    quoted = F.concat(F.lit('"µ;'), F.col("Data"), F.lit('"'))
+    lines = rows.join(e, "Time").select(
+        F.concat("event_type", F.lit("/log_"), F.floor(F.col("event_id") / RECORDS_PER_FILE).cast("string"), F.lit(".csv"))
+        .alias("source_file"), F.col("event_id").alias("line_no"),
+        F.concat_ws(",", F.coalesce("device", F.lit("")), "param", "Time", quoted, "Unit").alias("value"))
+    return text_files(lines, "device-logs", "latin-1")
+
+
+def _supplier_tasks(spark: SparkSession, sf_dir: str, write_one) -> None:
+    """Run ``write_one(key, nation, balance)`` for every supplier, some hundred a task."""
     ship_package(spark)
-    root = scratch_path(spark, "experiments")
     rows = table(spark, sf_dir, "supplier").select(
         F.floor(F.col("s_suppkey") / SUPPLIERS_PER_TASK).alias("task"), "s_suppkey", "s_nationkey", "s_acctbal")
 
     def write(frame: pd.DataFrame) -> pd.DataFrame:
         for key, nation, balance in zip(frame["s_suppkey"], frame["s_nationkey"], frame["s_acctbal"]):
-            name, in_debt = f"ID-{key}", balance < 0
-            write_whole(f"{root}/unconverted/{name}/UNFILTERED/SData.bin", b"x")
-            if nation < 15:
-                text = f"start\nConversion of {name} complete\n" + ("ERROR late\n" if in_debt else "")
-                write_whole(f"{root}/converted/{name}/conversion.log", text.encode())
-            if nation < 8:
-                write_whole(f"{root}/processed/{name}/" + ("plot.png" if in_debt else "output.csv"), b"x")
+            write_one(int(key), int(nation), float(balance))
         return pd.DataFrame({"n": [len(frame)]})
 
     rows.groupBy("task").applyInPandas(write, "n BIGINT").write.format("noop").mode("overwrite").save()
+
+
+def empty_folders(spark: SparkSession, sf_dir: str) -> str:
+    """Stage roots with an empty folder a supplier: all unconverted, nations below 15 converted, below 8 processed."""
+    root = scratch_path(spark, "empty-folders")
+
+    def write(key: int, nation: int, balance: float) -> None:
+        for stage, there in (("unconverted", True), ("converted", nation < 15), ("processed", nation < 8)):
+            if there:
+                system, inner = resolve(f"{root}/{stage}/ID-{key}")
+                system.create_dir(inner, recursive=True)
+
+    _supplier_tasks(spark, sf_dir, write)
+    return root
+
+
+def source_folders(spark: SparkSession, sf_dir: str) -> str:
+    """A source a supplier below ``in``, of a class by its nation: binary (cut off when in debt), delimited of one or of two
+    channels, a dose log, or an experiment without settings. An empty root of processed experiments beside it."""
+    root = scratch_path(spark, "sources")
+    meter = "FH40G\nserial\nunit\nDATE\tTIME\n"
+
+    def write(key: int, nation: int, balance: float) -> None:
+        kind, folder = nation % 5, f"{root}/in/TB-{key}"
+        if kind == 3:
+            text = meter + "".join(f"2024-01-02\t03:04:0{i}\t{nation}\tm\t2\tcps\tok\n" for i in range(3))
+            write_whole(f"{root}/in/day-{key}.log", text.encode("cp1252"))
+            return
+        write_whole(f"{folder}/run.info", f"id=TB-{key}\ntime.start=2023/01/05 23:30:00.123-0600\n".encode())
+        write_whole(f"{folder}/FILTERED/SDataF_1.bin", b"x")
+        write_whole(f"{folder}/RAW/SDataR_1.bin", b"x")
+        if kind != 4:
+            write_whole(f"{folder}/settings.xml", b"")
+        raw = f"{folder}/UNFILTERED"
+        if kind == 0:
+            zeros = {n: [0] * 4 for n in ("BOARD", "CHANNEL", "TIMESTAMP", "CALIB_ENERGY", "ENERGYSHORT", "FLAGS")}
+            data = _encode(pd.DataFrame({**zeros, "ENERGY": [nation, key % 100, 7, 1]}), 7)
+            write_whole(f"{raw}/SData_1.bin", data + (b"x" if balance < 0 else b""))
+            write_whole(f"{raw}/deep/SData_2.bin", data)
+        elif kind == 1:
+            write_whole(f"{raw}/AAA.csv", b"OTHER\n1\n")
+            write_whole(f"{raw}/SData.csv", f"CHANNEL;ENERGY\n0;{nation}\n".encode())
+            write_whole(f"{raw}/SData_1.csv", f"1;{key % 100}\n1;2;3\n".encode())
+        else:
+            write_whole(f"{raw}/Data_CH0.csv", f"CHANNEL;ENERGY\n0;{nation}\n".encode())
+            write_whole(f"{raw}/Data_CH1_1.csv", f"0;{key % 100}\n".encode())
+
+    _supplier_tasks(spark, sf_dir, write)
+    write_whole(f"{root}/processed/.keep", b"")
+    return root
+
+
+SUPPLIERS_PER_TASK = 500
+
+
+def experiment_folders(spark: SparkSession, sf_dir: str) -> str:
+    """Three stage roots with a folder a supplier: all unconverted, nations below 15 converted (with an
+    error in the log when in debt), nations below 8 processed (without a csv when in debt)."""
+    root = scratch_path(spark, "experiments")
+
+    def write(key: int, nation: int, balance: float) -> None:
+        name, in_debt = f"ID-{key}", balance < 0
+        write_whole(f"{root}/unconverted/{name}/UNFILTERED/SData.bin", b"x")
+        if nation < 15:
+            text = f"start\nConversion of {name} complete\n" + ("ERROR late\n" if in_debt else "")
+            write_whole(f"{root}/converted/{name}/conversion.log", text.encode())
+        if nation < 8:
+            write_whole(f"{root}/processed/{name}/" + ("plot.png" if in_debt else "output.csv"), b"x")
+
+    _supplier_tasks(spark, sf_dir, write)
     return root

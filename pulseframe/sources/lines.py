@@ -26,16 +26,17 @@ DECODERS = {
 }
 SPLIT_BYTES = 64 << 20
 MIN_SPLIT_BYTES = 4 << 20
-OPEN_COST_BYTES = 4 << 20
+#: Empty files that count as much as a full span.
+FILES_PER_TASK = 64
 
 
 def cut(total: int, files: int, parallelism: int, split_bytes: int | None = None) -> tuple[int, int]:
     """Bytes of a span and number of tasks: large spans for large data, all cores for small data.
 
-    Opening a file counts as some bytes, so that many small files share a task.
+    Opening a file counts as a small share of a span, so that many small files share a task.
     """
     size = split_bytes or max(MIN_SPLIT_BYTES, min(SPLIT_BYTES, total // max(3 * parallelism, 1)))
-    return size, max(1, -(-(total + files * min(OPEN_COST_BYTES, size)) // size))
+    return size, max(1, -(-(total + files * (size // FILES_PER_TASK)) // size), min(files, parallelism))
 
 
 def spans_of(files: DataFrame, split_bytes: int | None = None) -> tuple[DataFrame, int]:
