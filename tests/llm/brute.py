@@ -50,20 +50,20 @@ def licenses(text):
 
 
 def substring_dedup(rows, window=20):
-    """``rows``: unique (doc_id, text)."""
+    """``rows``: (doc_id, text) in the order of rows that share an id; (doc_id, n_words, n_removed, digest) of each."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    words = [spaced(t) for _, t in rows]
     first = {}
-    words = {d: spaced(t) for d, t in rows}
-    ids = sorted(words, key=lambda d: (d is not None, d))
-    for d in ids:
-        for i in range(len(words[d]) - window + 1):
-            first.setdefault(tuple(words[d][i:i + window]), (d, i))
-    out = {}
-    for d in ids:
+    for r, mine in enumerate(words):
+        for i in range(len(mine) - window + 1):
+            first.setdefault(tuple(mine[i:i + window]), (r, i))
+    out = []
+    for r, mine in enumerate(words):
         gone = set()
-        for i in range(len(words[d]) - window + 1):
-            if first[tuple(words[d][i:i + window])] != (d, i):
+        for i in range(len(mine) - window + 1):
+            if first[tuple(mine[i:i + window])] != (r, i):
                 gone |= set(range(i, i + window))
-        out[d] = (len(words[d]), len(gone), sha(" ".join(w for i, w in enumerate(words[d]) if i not in gone)))
+        out.append((rows[r][0], len(mine), len(gone), sha(" ".join(w for i, w in enumerate(mine) if i not in gone))))
     return out
 
 

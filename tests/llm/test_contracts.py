@@ -17,7 +17,7 @@ from pulseframe.llm.mixing import domain_rates, mix
 from pulseframe.llm.personal_data import personal_data
 from pulseframe.llm.qda_quality import accepted, quality_scores
 from pulseframe.llm.shingle_join import count_links, deduplicate, link_sets, near_duplicates, shingle_sets
-from pulseframe.llm.substring_dedup import substring_dedup
+from pulseframe.llm.substring_dedup import factors, substring_dedup
 from pulseframe.llm.text import text_block
 from pulseframe.llm.token_output import SeekableReader, read_documents, token_files, write_token_files
 
@@ -101,16 +101,55 @@ def test_license_join_is_exact(spark):
         assert got[i] == ",".join(sorted(want))
 
 
+def dedup_rows(docs):
+    return bag((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs).collect())
+
+
 def test_substring_dedup(docs):
-    rows = dict(pairs(docs)).items()
-    want = brute.substring_dedup(list(rows))
-    got = substring_dedup(docs).collect()
-    assert len(got) == docs.count()
-    for r in got:
-        assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id], r.doc_id
+    assert dedup_rows(docs.coalesce(1)) == bag(brute.substring_dedup(pairs(docs)))
     assert substring_dedup(empty(docs)).count() == 0
 
 
+def test_substring_dedup_rows_that_share_ids(spark):
+    """Rows of one id are documents of their own: what stands in one of them alone stays."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    for ids in ((1, 2, 2), (2, 2, 1), (None, None, None), (1, None, None), (5, 5, 5)):
+        rows = list(zip(ids, (a, a, b)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert dedup_rows(docs) == bag(brute.substring_dedup(rows)), ids
+        assert sum(r[2] for r in dedup_rows(docs)) == 30
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(3, 9), st.integers(1, 2), st.integers(0, 4)), max_size=12))
+def test_factors(matches):
+    """The parse is greedy, its factors do not overlap, and with the checked matches it covers all matches."""
+    start, length, ref, shift = (np.array([m[i] for m in matches], np.int64) for i in range(4))
+    starts, ends, crossing = factors(start, length, ref, start + shift)
+    assert all(e <= s for e, s in zip(ends, starts[1:]))
+    got = {w for s, e in zip(starts, ends) for w in range(s, e)} | {
+        w for i in crossing for w in range(start[i], start[i] + length[i])}
+    assert got == {w for s, n, *_ in matches for w in range(s, s + n)}
+
+    def longest(at):
+        """By words: along each reference and shift, how far the matched words go on from a match that starts here."""
+        best = 0
+        for key in {(r, d) for s, _, r, d in matches if s == at}:
+            words = {w for s, n, r, d in matches if (r, d) == key for w in range(s, s + n)}
+            end = at
+            while end in words:
+                end += 1
+            best = max(best, end)
+        return best
+
+    at, want = 0, []
+    while any(s >= at for s, *_ in matches):
+        begin = min(s for s, *_ in matches if s >= at)
+        at = longest(begin)
+        want.append((begin, at))
+    assert list(zip(starts.tolist(), ends.tolist())) == want
+
+
 def test_substring_dedup_random(spark):
     rng = np.random.default_rng(3)
     rows = []
@@ -123,8 +162,7 @@ def test_substring_dedup_random(spark):
         rows.append((d, " ".join(f"w{i}" for p in parts for i in p)))
     rows.append((60, "same word again " * 40))
     want = brute.substring_dedup(rows)
-    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+    assert dedup_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == bag(want)
 
 
 def test_near_duplicates(docs):
