@@ -16,6 +16,7 @@ columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from pulseframe.llm.run import quoted
 
 CUT = 0.5
+#: Matches whose places are found one by one; longer lists of matches are put together from such runs.
+RUN = 64
 CONTEXT = 48  # characters before and after a span that are searched for context words
 
 
@@ -131,17 +134,36 @@ def _proposed(text: Column, kind: Kind) -> Column:
         return F.struct((start + F.coalesce(F.length(pair["matched"]), F.lit(0))).alias("at"),
                         F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    return F.when(text.rlike(kind.hint), F.filter(F.aggregate(pairs, empty, add)["spans"], lambda s: s["value"].isNotNull())
-                  ).otherwise(F.array().cast(_SPANS))
+    def placed(parts: Column) -> Column:
+        nothing = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("before"))
+        before = F.aggregate(parts, nothing, lambda state, part: F.struct(
+            (state["at"] + part["at"]).alias("at"), F.concat(state["before"], F.array(state["at"])).alias("before")))["before"]
+        return _let(before, lambda known: F.flatten(F.transform(parts, lambda part, i: F.transform(
+            part["spans"], lambda s: F.struct((s["start"] + F.get(known, i)).alias("start"), s["value"].alias("value"))))))
+
+    def runs(all_pairs: Column) -> Column:
+        """Matches in runs of ``RUN``: within a run their places grow one by one, then each run is moved as a whole."""
+        last = F.floor((F.size(all_pairs) - 1) / RUN).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda run: F.aggregate(
+            F.slice(all_pairs, run * RUN + 1, F.lit(RUN)), empty, add))
+
+    spans = _let(_let(pairs, runs), placed)
+    return F.when(text.rlike(kind.hint), F.filter(spans, lambda s: s["value"].isNotNull())).otherwise(F.array().cast(_SPANS))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body's inner functions use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _scored(text: Column, spans: Column, kind: Kind) -> Column:
     def score(span: Column) -> Column:
         begin = F.greatest(F.lit(0).cast("bigint"), span["start"] - CONTEXT)
-        around = F.substr(text, (begin + 1).cast("int"), (F.length(span["value"]) + 2 * CONTEXT).cast("int"))
+        end = span["start"] + F.length(span["value"])
+        around = F.substr(text, (begin + 1).cast("int"), (end + CONTEXT - begin).cast("int"))
         near = F.replace(around, span["value"], F.lit(" "))
         return F.struct(F.lit(kind.name).alias("kind"), span["start"].alias("start"),
-                        (span["start"] + F.length(span["value"])).alias("end"), span["value"].alias("value"),
+                        end.alias("end"), span["value"].alias("value"),
                         F.least(F.lit(1.0), F.lit(kind.score) + F.when(near.rlike(kind.context), 0.2).otherwise(0.0))
                         .alias("score"))
 

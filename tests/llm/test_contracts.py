@@ -337,6 +337,25 @@ def test_account_numbers_end_by_country(spark):
         7: ["iban:18:45"], 8: ["iban:5:32"]}
 
 
+def test_context_is_equally_wide_everywhere(spark):
+    """A context word counts up to 48 characters behind a span, at a text's start as in its middle."""
+    number = "123-45-6789"
+    rows = []
+    for i, (before, gap) in enumerate((b, g) for b in ("", "x " * 30) for g in (30, 47, 70)):
+        rows.append((i, f"{before}{number}{' ' * gap}security"))
+    rows.append((6, "security" + " " * 40 + number))
+    got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [bool(got[i]) for i in range(7)] == [True, False, False, True, False, False, True]
+
+
+def test_many_spans_in_one_text(spark):
+    """Places of matches over several runs."""
+    text = " ".join(f"{'é' * (i % 3)} u{i}@h{i}.org +1 (2{i % 10}) 345-{1000 + i}" for i in range(300))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = personal_data(docs).first()
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone, row.base_sha256) == brute.personal(text)
+
+
 def test_long_secrets_are_whole(spark):
     rows = [(n, f"token={'aB3-_.x9' * n} end") for n in (2, 16, 17, 125, 5000)]
     got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
