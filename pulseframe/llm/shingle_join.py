@@ -362,14 +362,19 @@ def _classes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, r
     return rows.select(quoted(doc_id), "n_shingles", "node").join(named, "node")
 
 
+def _plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Id and text under names of their own, which no column of the documents can clash with."""
+    return docs.select(F.col(quoted(doc_id)).alias("__doc"), F.col(quoted(text)).alias("__words"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
                     percent: int = PERCENT, region: float = REGION, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """``n_shingles``, ``component_id`` and ``n_links`` of every document."""
-    rows = _classes(docs, doc_id, text, size, percent, region, cell_shingles, True)
-    key = F.col(quoted(doc_id))
+    rows = _classes(_plain(docs, doc_id, text), "__doc", "__words", size, percent, region, cell_shingles, True)
+    key = F.col("__doc")
     least = (rows.filter(F.col("n_shingles") > 0).groupBy("root").agg(F.min(key).alias("component_id")))
     return (rows.join(least, "root", "left")
-            .select(quoted(doc_id), "n_shingles",
+            .select(key.alias(doc_id), "n_shingles",
                     F.when(F.col("n_shingles") == 0, key).otherwise(F.col("component_id")).alias("component_id"), "n_links"))
 
 
@@ -378,10 +383,10 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     """One document of each class, with all columns: the one with the smallest id (null last). Documents without
     words stay. Only documents whose id may be that of a dropped one are shuffled."""
     spark = ready(docs)
-    key = F.col(quoted(doc_id)).cast("long")
-    rows = materialize(_classes(docs, doc_id, text, size, percent, region, cell_shingles)
+    key, inner = F.col(quoted(doc_id)).cast("long"), F.col("__doc").cast("long")
+    rows = materialize(_classes(_plain(docs, doc_id, text), "__doc", "__words", size, percent, region, cell_shingles)
                        .filter(F.col("n_shingles") > 0)
-                       .select(F.coalesce(key, F.lit(_NULL_ID)).alias("id"), key.isNull().alias("absent"), "node", "root"),
+                       .select(F.coalesce(inner, F.lit(_NULL_ID)).alias("id"), inner.isNull().alias("absent"), "node", "root"),
                        "shingle-classes")
     best = rows.groupBy("root").agg(F.min(F.struct("absent", "id", "node")).alias("best"))
     judged = (rows.join(best, "root")
@@ -410,9 +415,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     maybe = map_texts(docs, nodes, "__node long, __size long", names, text, only=split(True))
     # of equal rows in a class only the first can stay; where nothing is dropped, equal rows are empty ones
     open_rows = (maybe.withColumn("__id", F.coalesce(key, F.lit(_NULL_ID)))
-                 .join(judged.select(F.col("id").alias("__id"), F.col("node").alias("__node"), "stays"),
+                 .join(judged.select(F.col("id").alias("__id"), F.col("node").alias("__node"), F.col("stays").alias("__stays")),
                        ["__id", "__node"], "left")
-                 .filter(F.coalesce("stays", F.lit(True)))
+                 .filter(F.coalesce("__stays", F.lit(True)))
                  .withColumn("__turn", F.row_number().over(Window.partitionBy("__id", "__node").orderBy("__size")))
-                 .filter(F.col("stays").isNull() | (F.col("__turn") == 1)))
+                 .filter(F.col("__stays").isNull() | (F.col("__turn") == 1)))
     return certain.union(open_rows.select(*[quoted(c) for c in names]))

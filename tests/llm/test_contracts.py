@@ -173,6 +173,19 @@ def test_near_duplicates(docs):
     assert near_duplicates(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["node", "root", "n_shingles", "stays", "token"])
+def test_near_duplicates_with_clashing_names(spark, name):
+    """Columns of documents, the id's too, may be called as the operator's own ones."""
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "a"), (2, text, "b"), (3, "x y z", "c"), (4, None, "d")], f"{name} long, t string, id string")
+    got = near_duplicates(docs, name, "t").toDF("a", "b", "c", "d").collect()
+    assert bag((r.a, r.c) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    kept = deduplicate(docs, name, "t")
+    assert kept.columns == docs.columns and bag(r[0] for r in kept.collect()) == [1, 3, 4]
+    other = docs.toDF("doc_id", "t", name)
+    assert bag(r.doc_id for r in deduplicate(other, "doc_id", "t").collect()) == [1, 3, 4]
+
+
 def edited(rng, words, edits):
     words = list(words)
     for _ in range(edits):
