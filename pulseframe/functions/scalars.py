@@ -41,18 +41,6 @@ def decode_file_url(url: Column) -> Column:
     return F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))
 
 
-def encode_file_url(path: Column) -> Column:
-    """Inverse of ``decode_file_url`` on the paths Spark lists.
-
-    Java's URI keeps letters, digits and ``_-!.~'()*,;:$&+=@/`` and other characters than ASCII as they
-    are; what remains here are the printable ASCII characters it quotes.
-    """
-    encoded = path
-    for plain in ("%", " ", '"', "#", "<", ">", "?", "[", "\\", "]", "^", "`", "{", "|", "}"):
-        encoded = F.replace(encoded, F.lit(plain), F.lit(f"%{ord(plain):02X}"))
-    return encoded
-
-
 def normalized_file_name(path: Column) -> Column:
     """Stem with its trailing number padded to five digits, or ``_00000`` appended when it has none."""
     stem = file_stem(path)
