@@ -1,8 +1,12 @@
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from pulseframe import schemas
 from pulseframe.operators import inventory as inv
 from pulseframe.operators import overrides as ovr
+from pulseframe.operators.pattern_index import required_literals
 from pulseframe.plans.analysis import plan_analyses, plan_processing
 from pulseframe.plans.inventory_view import current_inventory, inventory_query
 from pulseframe.sources.tables import load_overrides, save_overrides
@@ -145,11 +149,37 @@ def test_first_match_wins(spark):
     assert applied["ID-023"]["unconverted_mtime"] == 3.0
 
 
+@pytest.mark.parametrize("pattern, literals", [
+    ("ID-12[0-9][0-9]", ["ID-12"]), ("ID-1..", ["ID-1"]), ("^ID-100$", ["ID-100"]), ("ab+c", ["ab"]), ("abc?d", ["ab"]),
+    (r"a\.b\d+cd", ["a.b"]), ("ID-7|TB-[12]x", ["ID-7", "TB-"]), ("ID-7|[0-9]", []), ("(ID-1|ID-2)-long", ["-long"]),
+    ("(?i)id-1", []), ("(?:x)ID", ["ID"]), (".*", []), ("", []), ("a{0,2}", []), ("a[]x]bc", ["bc"]), ("[a[bc]]d", []),
+    (r"\x41BC", []), (r"\Qa.b\E", []), ("ID-1234567890", ["34567890"]), ("(open", []), ("[open", []), ("x*", []),
+])
+def test_required_literals(pattern, literals):
+    assert required_literals(pattern) == literals
+
+
+def test_indexed_patterns_match_as_plain_search(spark):
+    """Against every pattern tried on every id, with ties, repeated ids, nulls and a text shared by most patterns."""
+    ids = [f"{p}-{i}{s}" for p in ("ID", "TB", "id") for i in range(40) for s in ("", "x", ".b")] + ["", "I", "ID-1", None, "µID-7"]
+    patterns = ([f"ID-{i}$" for i in range(20)] + [f"ID-.*{i}x" for i in range(20)] + [f"TB-{i}|id-{i + 1}$" for i in range(9)]
+                + [r"ID-3\.b", "[7-9]\\.b$", "(?i)tb-30", "(ID|TB)-2[0-9]", "µ"])
+    inventory = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id STRING, literal INT")
+    table = spark.createDataFrame([(n, p) for n, p in enumerate(patterns)], "seq BIGINT, pattern STRING")
+    got = ovr.match_overrides(inventory, table)
+    assert got.columns == ["id", "literal", "override_seq"]
+    want = [(n, next((s for s, p in enumerate(patterns) if re.search(p, i)), None) if i is not None else None)
+            for n, i in enumerate(ids)]
+    assert sorted((r.literal, r.override_seq) for r in got.collect()) == want
+    chosen = table.where("seq < 3").select(F.col("pattern").alias("id"))
+    assert {r.id for r in ovr.select_experiments(inventory, chosen, as_pattern=True).collect()} == {"ID-0", "ID-1", "ID-2"}
+
+
 def test_many_patterns_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(ovr, "PATTERNS_PER_ROUND", 7)
     monkeypatch.setattr(ovr, "ROUNDS_PER_WRITE", 2)
     rows = props(spark, [(f"ID-{i}", 9, 9, 9) for i in range(60)])
-    table = overrides(spark, [(f"ID-{i}$", *three(i, i, i)) for i in range(50)])
+    table = overrides(spark, [(f"(ID-{i})$", *three(i, i, i)) for i in range(50)])
     got = {r["id"]: r["override_seq"] for r in ovr.match_overrides(rows, table).collect()}
     assert got == {f"ID-{i}": (i if i < 50 else None) for i in range(60)}
 
