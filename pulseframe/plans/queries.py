@@ -15,16 +15,16 @@ from pulseframe.operators import reactor as rx
 from pulseframe.operators import spectra
 from pulseframe.plans import stand_ins as si
 from pulseframe.plans.analysis import plan_analyses, plan_processing
-from pulseframe.plans.conversion import CSV_CLASSES, convert_folder, convert_listmode_csv
+from pulseframe.plans.conversion import CSV_CLASSES, convert_dose_log, convert_folder, convert_listmode_csv, convert_planned
 from pulseframe.plans.inventory_view import current_inventory
-from pulseframe.session import scratch_path
+from pulseframe.session import materialize, scratch_path
 from pulseframe.sources import listmode_bin as lb
-from pulseframe.sources.files import list_files
+from pulseframe.sources.files import list_files, write_whole
 from pulseframe.sources.lines import read_lines
 from pulseframe.sources.manifest import classified_sources, sources_in
 from pulseframe.sources.reactor import read_reactor_archives, reactor_members
 from pulseframe.sources.tables import load_overrides, save_overrides
-from pulseframe.streaming.conversion import continuous_conversion, converted_so_far
+from pulseframe.streaming.conversion import continuous_conversion, continuous_experiments, converted_so_far
 from pulseframe.streaming.logs import log_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -504,6 +504,48 @@ def dose_log_scan(spark, sf_dir):
     return _dose_columns(rows.withColumn("source_file", fx.base_name(F.col("source_file"))))
 
 
+_METER = _EVENTS + """, m AS (
+  SELECT event_id, k, event_id // 512 AS file_no, event_id // 512 % 4 AS kind, event_id % 512 AS minute FROM e),
+f AS (
+  SELECT *, kind = 1 AND minute >= 120 AND minute < 180 AS gap, kind = 2 AND minute >= 60 AND minute < 120 AS twice,
+         kind = 3 AND minute = 7 AS bad,
+         epoch(CASE kind WHEN 1 THEN TIMESTAMP '2024-03-10' WHEN 2 THEN TIMESTAMP '2024-11-03' ELSE TIMESTAMP '2024-06-01' END)
+         + 60 * minute + 3600 * CASE WHEN kind = 1 AND minute < 180 OR kind = 2 AND minute >= 120 THEN 6 ELSE 5 END AS utc
+  FROM m)
+"""
+
+
+@query(_METER + """
+SELECT 'meter_' || CAST(file_no AS VARCHAR) || '.log' AS source_file, CAST(k AS DOUBLE) AS value_int, gap AS dst_gap,
+       twice AS dst_ambiguous, CASE WHEN NOT (gap OR twice) THEN CAST(utc AS BIGINT) END AS at_second
+FROM f WHERE NOT bad
+""")
+def dose_log_dst(spark, sf_dir):
+    """Wall times of a zone that changes its clock: those that never happened or happened twice are marked."""
+    rows = doselog.read_wendi_log(spark, si.text_files(si.meter_lines(spark, sf_dir), "meter", "cp1252"), si.METER_ZONE, on_dst="flag")
+    return rows.where(F.col("DATETIME").isNotNull()).select(
+        fx.base_name(F.col("source_file")).alias("source_file"), F.col("VALUE_INT").alias("value_int"), "dst_gap", "dst_ambiguous",
+        F.when(~(F.col("dst_gap") | F.col("dst_ambiguous")), F.unix_seconds("DATETIME")).alias("at_second"))
+
+
+@query(_METER + """
+SELECT 'meter_' || CAST(file_no AS VARCHAR) || '.log' AS source_file, count(*) AS n_rows, count_if(bad) AS n_bad_times,
+       count_if(gap) AS n_gap, count_if(twice) AS n_ambiguous, NOT bool_or(gap OR twice OR bad) AS ok,
+       CASE WHEN NOT bool_or(gap OR twice OR bad) THEN count(*) ELSE 0 END AS n_written,
+       CASE WHEN NOT bool_or(gap OR twice OR bad) THEN CAST(sum(utc) AS BIGINT) ELSE 0 END AS seconds
+FROM f GROUP BY file_no
+""")
+def convert_dose_faults(spark, sf_dir):
+    """A folder of dose logs converted; a log with a bad, missing or doubled time fails alone."""
+    folder, dest = si.text_files(si.meter_lines(spark, sf_dir), "meter", "cp1252"), scratch_path(spark, "meter-converted")
+    status = convert_dose_log(spark, folder, dest, si.METER_ZONE)
+    written = spark.read.parquet(dest).groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.unix_seconds("DATETIME")).alias("total"))
+    return status.join(written, "source_file", "left").select(
+        fx.base_name(F.col("source_file")).alias("source_file"), "n_rows", "n_bad_times", "n_gap", "n_ambiguous", "ok",
+        F.coalesce("n", F.lit(0)).alias("n_written"), F.coalesce("total", F.lit(0)).alias("seconds"))
+
+
 def _dose_columns(rows):
     return rows.select(
         "source_file", F.unix_seconds("DATETIME").alias("at_second"), F.col("VALUE_INT").alias("value_int"),
@@ -952,7 +994,47 @@ FROM s
 def conversion_from_storage(spark, sf_dir):
     """A folder of sources converted in one go: what the tables, the metadata and the inventory then say of each."""
     root, out = si.source_folders(spark, sf_dir), scratch_path(spark, "converted")
-    classified = convert_folder(spark, f"{root}/in", f"{out}/data", fresh=True, log_root=f"{out}/logs")
+    convert_folder(spark, f"{root}/in", f"{out}/data", fresh=True, log_root=f"{out}/logs")
+    return _converted_facts(spark, root, out)
+
+
+@query(ORACLES["conversion_from_storage"])
+def continuous_conversion_inventory(spark, sf_dir):
+    """The same from a stream of landing files: each experiment is converted when it is complete, and once."""
+    root, out = si.source_folders(spark, sf_dir), scratch_path(spark, "converted")
+    running = continuous_experiments(
+        spark, f"{root}/in", f"{out}/data", f"{out}/logs", f"{out}/checkpoint", files_per_trigger=400)
+    running.trigger(availableNow=True).start().awaitTermination()
+    return _converted_facts(spark, root, out)
+
+
+@query(_SOURCES + """
+SELECT id, source_class = 'unsupported' OR key % 2 = 1 AS run_convert,
+  CASE WHEN source_class = 'unsupported' THEN 'absent' WHEN source_class = 'listmode_bin' AND in_debt THEN 'malformed'
+       ELSE 'present' END AS converted_state,
+  source_class <> 'unsupported' AS run_process
+FROM s WHERE source_class <> 'dose_meter'
+""")
+def analyses_planned_and_converted(spark, sf_dir):
+    """Experiments planned from the inventory and converted together: the even ones, then what is left to do."""
+    root, out = si.source_folders(spark, sf_dir), scratch_path(spark, "planned")
+
+    def now():
+        return current_inventory(spark, f"{root}/in", f"{out}/logs", f"{root}/processed")
+
+    write_whole(f"{out}/logs/.keep", b"")
+    plan = None
+    for pattern in ("[02468]$", None):
+        plan = materialize(plan_analyses(now(), pattern=pattern), "plan")
+        convert_planned(spark, plan, f"{root}/in", f"{out}/data", fresh=True, log_root=f"{out}/logs")
+    after = now()
+    return (
+        plan.select("id", "run_convert").join(after.select("id", "converted_state"), "id")
+        .join(plan_processing(plan, after).select("id", "run_process"), "id"))
+
+
+def _converted_facts(spark, root, out):
+    classified = classified_sources(sources_in(spark, f"{root}/in"))
     events = sinks.read_listmode_table(spark, f"{out}/data/listmode").select(
         F.col("experiment_id").alias("id"), F.col("ENERGY").cast("double").alias("amount"), "file_channel")
     doses = spark.read.parquet(f"{out}/data/wendi").select(

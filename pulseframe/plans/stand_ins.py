@@ -303,6 +303,27 @@ def dose_lines(spark: SparkSession, sf_dir: str, by_range: bool = False) -> Data
     return data.unionByName(top)
 
 
+METER_ZONE = "America/Chicago"
+
+
+def meter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dose log a range of events in a zone that changes its clock, a reading a minute: of every four files one is without
+    fault, one goes through a night with an hour left out, one through a night with an hour twice, one has a bad time."""
+    e = events(spark, sf_dir)
+    kind = F.floor(F.col("event_id") / 512) % 4
+    minute = F.col("event_id") % 512
+    day = F.when(kind == 1, "2024-03-10").when(kind == 2, "2024-11-03").otherwise("2024-06-01")
+    hour, rest = F.lpad(F.floor(minute / 60).cast("string"), 2, "0"), F.lpad((minute % 60).cast("string"), 2, "0")
+    time = F.when((kind == 3) & (minute == 7), "late").otherwise(F.concat_ws(":", hour, rest, F.lit("00")))
+    name = F.concat(F.lit("meter_"), F.floor(F.col("event_id") / 512).cast("string"), F.lit(".log")).alias("source_file")
+    data = e.select(
+        name, (F.col("event_id") + 4).alias("line_no"),
+        F.concat_ws("\t", day, time, F.col("k").cast("string"), F.lit("µSv/h"), F.lit("1"), F.lit("cps"), F.lit("ok")).alias("value"))
+    top = e.select(name).distinct().select(
+        "source_file", F.posexplode(F.array(*map(F.lit, ("FH40G", "serial", "unit", "DATE\tTIME")))).alias("line_no", "value"))
+    return data.unionByName(top.withColumn("line_no", F.col("line_no").cast("bigint")))
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice",

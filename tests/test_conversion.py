@@ -6,10 +6,12 @@ import pytest
 from binfile import record, write
 from pulseframe import sinks
 from pulseframe.operators import listmode as lm
-from pulseframe.plans.conversion import convert_experiment, convert_folder
+from pulseframe.plans.conversion import convert_dose_log, convert_experiment, convert_folder
 from pulseframe.plans.inventory_view import current_inventory
 from pulseframe.sources.tables import read_conversion_logs
-from pulseframe.streaming.conversion import continuous_conversion, converted_so_far, status_so_far
+from pulseframe.streaming.conversion import (
+    continuous_conversion, continuous_experiments, converted_so_far, status_so_far,
+)
 from pulseframe.streaming.logs import log_stream
 
 
@@ -223,3 +225,66 @@ def test_convert_a_folder_of_experiments(spark, tmp_path):
     assert states == {"TB-1": "malformed", "TB-2": "present", "TB-3": "present", "TB-4": "absent", "day": "present"}
     convert_folder(spark, str(source), dest, fresh=True, file_limit=1)
     assert sinks.read_listmode_table(spark, f"{dest}/listmode").where("experiment_id = 'TB-1'").count() == 4
+
+
+METER = "FH40G\nserial\nunit\nDATE\tTIME\n"
+
+
+def test_a_faulty_dose_log_fails_alone(spark, tmp_path):
+    folder, dest = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    times = {"good": ["2024-06-01\t01:00:00"], "gap": ["2024-06-01\t01:00:00", "2024-03-10\t02:30:00"],
+             "twice": ["2024-11-03\t01:30:00"], "bad": ["2024-06-01\tlate", "\t"], "none": []}
+    for name, stamps in times.items():
+        (folder / f"{name}.log").write_text(METER + "".join(f"{t}\t1\tu\t2\tv\tok\n" for t in stamps))
+    (folder / "empty.log").write_text("")
+    (folder / "short.log").write_text("FH40G\nserial\n")
+    for _ in range(2):
+        status = convert_dose_log(spark, str(folder), dest, "America/Chicago", fresh=True)
+    got = {r.source_file.rsplit("/", 1)[-1]: (r.ok, r.n_rows, r.reason) for r in status.collect()}
+    assert got == {
+        "good.log": (True, 1, None), "gap.log": (False, 2, "1 times never happened"),
+        "twice.log": (False, 1, "1 times happened twice"), "bad.log": (False, 2, "2 times cannot be read"),
+        "none.log": (False, 0, "no readings"), "empty.log": (False, 0, "no readings"), "short.log": (False, 0, "no readings")}
+    assert [r.log for r in spark.read.parquet(dest).collect()] == ["good.log"]
+    (folder / "good.log").rename(folder / "later.log")  # another log of the folder leaves the first one's rows alone
+    convert_dose_log(spark, str(folder / "later.log"), dest, "America/Chicago", fresh=True)
+    assert sorted(r.log for r in spark.read.parquet(dest).collect()) == ["good.log", "later.log"]
+
+
+def test_experiments_are_converted_once_complete(spark, tmp_path):
+    """Files land in any order; nothing is converted before the class can be told and the marker is there."""
+    source, dest, logs = tmp_path / "in", str(tmp_path / "out"), tmp_path / "logs"
+    source.mkdir()
+
+    def land(**options):
+        running = continuous_experiments(spark, str(source), dest, str(logs), str(tmp_path / "c"), **options)
+        running.trigger(availableNow=True).start().awaitTermination()
+
+    def rows():
+        return sorted((r.experiment_id, r.ENERGY) for r in sinks.read_listmode_table(spark, f"{dest}/listmode").collect())
+
+    for name in ("TB-1", "TB-2"):
+        for folder in ("RAW", "FILTERED", "UNFILTERED"):
+            (source / name / folder).mkdir(parents=True)
+        (source / name / "run.info").write_text(f"id={name}\ntime.start=2023/01/05 23:30:00.123-0600\n")
+        (source / name / "UNFILTERED" / "SData.csv").write_text(f"CHANNEL;ENERGY\n0;{name[-1]}\n")
+    (source / "TB-2" / "settings.xml").write_text("")
+    land(marker="done")
+    assert not logs.exists()
+    (source / "day.log").write_text(METER + "2024-06-01\t01:00:00\t1\tu\t2\tv\tok\n")
+    (source / "bad.log").write_text(METER + "never\t\t1\tu\t2\tv\tok\n")
+    (source / "TB-2" / "done").write_text("x")
+    land(marker="done")
+    assert {p.name for p in logs.iterdir()} == {"TB-2", "day", "bad"}
+    assert "ERROR - 1 times cannot be read" in (logs / "bad" / "conversion.log").read_text()
+    assert rows() == [("TB-2", 2)]
+    (source / "TB-1" / "settings.xml").write_text("")
+    (source / "TB-1" / "done").write_text("x")
+    (source / "TB-2" / "UNFILTERED" / "SData_1.csv").write_text("0;22\n")
+    land(marker="done")
+    assert rows() == [("TB-1", 1), ("TB-2", 2)]
+    (source / "TB-2" / "UNFILTERED" / "SData_2.csv").write_text("0;222\n")
+    land(marker="done", reconvert=True)
+    assert rows() == [("TB-1", 1), ("TB-2", 2), ("TB-2", 22), ("TB-2", 222)]
+    assert [r.log for r in spark.read.parquet(f"{dest}/wendi").collect()] == ["day.log"]
