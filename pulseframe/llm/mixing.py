@@ -4,10 +4,11 @@ A classifier learned from a labelled table gives every document its domain poste
 documents are then fitted so that the expected token totals of the domains, the sums of r * tokens * p, match targets:
 accelerated projected gradient on the scaled least squares, with a small pull towards rate 1 that makes the answer
 unique. Each iteration is one pass over the narrow table of posteriors that adds up one number a domain; the rates
-themselves are not stored but follow from the posteriors and the past gradients, a bounded list of short vectors. So
-nothing grows on the driver, no lineage builds up, and a lost task is simply run again. It ends after ``ITERATIONS``
-passes at the latest; wanted and reached totals are logged for each domain, with a warning where they differ by more
-than ``TOLERANCE`` of all tokens.
+themselves are not stored but follow from the posteriors and the past gradients, a list of short vectors. So nothing of
+the documents' size reaches the driver, no lineage builds up, and a lost task is simply run again. It ends when the
+totals are within ``TOLERANCE`` of all tokens, or when the projected gradient is below ``GRADIENT``: then the targets
+cannot be met and the rates are the nearest ones. Momentum starts anew where it points uphill. Wanted and reached totals
+are logged for each domain, with a warning where they differ by more than ``TOLERANCE`` of all tokens.
 
 The classifier learns from at most ``SAMPLE`` labelled rows (those with the smallest hash of their id); posteriors,
 totals and rates cover all documents. It looks at the statistics of ``features`` and, for each domain, at the words
@@ -15,8 +16,8 @@ that mark it (the mean of the three largest log-odds among a text's words, hashe
 
 Cases: null and empty texts have no tokens and get the posterior of an empty text; labels of unknown documents and
 null labels are ignored; several labels of one document: the smallest domain counts; with fewer than two labelled
-domains, or without tokens, all rates are 1; targets of domains that no labelled row has are left out; repeated rows
-each get a rate; an empty table gives no rows.
+domains, or without tokens, all rates are 1; targets of domains that no labelled row has are left out, and a domain
+without a target raises; repeated rows each get a rate; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ WORD_BITS = 18
 PRIOR = 20.0
 TOP_WORDS = 3
 PULL = 1e-3
-ITERATIONS = 60
 TOLERANCE = 1e-4
+GRADIENT = 1e-5
 TEMPERATURE = 2.0
 _log = logging.getLogger(__name__)
 
@@ -165,48 +166,50 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 @dataclass
 class Rates:
-    """Past gradients, from which a document's rate follows given its posteriors."""
+    """Past gradients, and after which of them momentum starts anew; a document's rate follows from its posteriors."""
 
     pull: float = 0.0
     gradients: list[np.ndarray] = field(default_factory=list)
+    anew: list[bool] = field(default_factory=list)
 
-    def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rates after the last step, and the point at which the next gradient is taken."""
+    def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The rates after the last step, the point at which the next gradient is taken, and of the last step how far
+        it went and how far it went against the momentum."""
         rate = point = np.ones(len(p))
+        moved = against = np.zeros(len(p))
         t = 1.0
-        for gradient in self.gradients:
+        for gradient, anew in zip(self.gradients, self.anew, strict=True):
             new = np.maximum(0.0, point - p @ gradient - self.pull * (point - 1))
-            t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            rate, point, t = new, new + (t - 1) / t_next * (new - rate), t_next
-        return rate, point
+            moved, against = np.abs(new - point), (point - new) * (new - rate)
+            t_next = 1.0 if anew else (1 + np.sqrt(1 + 4 * t * t)) / 2
+            ahead = 0.0 if anew else (t - 1) / t_next
+            rate, point, t = new, new + ahead * (new - rate), t_next
+        return rate, point, moved, against
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE,
+def _totals(members: DataFrame, size: int, cells: int, add) -> np.ndarray:
+    """Sums of ``add(tokens, posteriors)`` over all documents; one row a task goes to the driver's sum."""
+    names = [f"c{k}" for k in range(cells)]
+
+    def run(batches):
+        sums = np.zeros(cells)
+        for batch in batches:
+            if batch.num_rows:
+                p = np.asarray(batch.column(1).flatten()).reshape(-1, size)
+                sums += add(batch.column(0).to_numpy(), p)
+        yield {name: [value] for name, value in zip(names, sums, strict=True)}
+
+    row = (stream(members.select("n_tokens", "posteriors"), run, ", ".join(f"{c} double" for c in names))
+           .agg(*(F.sum(c).alias(c) for c in names)).first())
+    return np.array([value or 0.0 for value in row])
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray, tolerance: float = TOLERANCE, gradient: float = GRADIENT,
               pull: float = PULL) -> tuple[Rates, np.ndarray, np.ndarray]:
     """Rates for ``members`` (``n_tokens``, ``posteriors``) whose domain totals match the targets (shares of all
     tokens); also the targets in tokens and the totals reached."""
     size = len(targets)
-
-    def total(rates: Rates, products: bool = False) -> np.ndarray:
-        cells = [f"c{k}" for k in range(size * size if products else size)]
-
-        def add(batches):
-            sums = np.zeros((size, size) if products else size)
-            for batch in batches:
-                if batch.num_rows:
-                    tokens = batch.column(0).to_numpy()
-                    p = np.asarray(batch.column(1).flatten()).reshape(-1, size)
-                    sums += (p * tokens[:, None]).T @ p if products else (rates.replay(p)[step] * tokens) @ p
-            yield {name: [value] for name, value in zip(cells, sums.ravel(), strict=True)}
-
-        step = total.step
-        row = (stream(members.select("n_tokens", "posteriors"), add, ", ".join(f"{c} double" for c in cells))
-               .agg(*(F.sum(c).alias(c) for c in cells)).first())  # one row a task goes to the sum
-        out = np.array([value or 0.0 for value in row])
-        return out.reshape(size, size) if products else out
-
-    total.step = 1
-    gram = total(Rates(), True)
+    gram = _totals(members, size, size * size, lambda tokens, p: ((p * tokens[:, None]).T @ p).ravel()).reshape(size, size)
     tokens = gram.sum()
     if not tokens:
         return Rates(), targets * 0, targets * 0
@@ -215,13 +218,24 @@ def fit_rates(members: DataFrame, targets: np.ndarray, iterations: int = ITERATI
     root = np.sqrt(scale)
     bound = np.linalg.eigvalsh(tokens * gram * np.outer(root, root)).max() + pull
     rates = Rates(pull / bound)
-    for _ in range(iterations):
-        reached = total(rates)
-        rates.gradients.append(tokens * scale * (reached - wanted) / bound)
-        if np.abs(reached - wanted).max() <= tolerance * tokens:
+
+    def step(many, p):
+        _, point, moved, against = rates.replay(p)
+        return np.append((point * many) @ p, [many @ moved, many @ against])
+
+    while True:
+        *reached, moved, against = _totals(members, size, size + 2, step)
+        missed = np.array(reached) - wanted
+        if rates.gradients and against > 0 and not rates.anew[-1]:
+            rates.anew[-1] = True  # the totals are added up again without the momentum
+            continue
+        if rates.gradients and moved * bound <= gradient * tokens:
+            break
+        rates.gradients.append(tokens * scale * missed / bound)
+        rates.anew.append(False)
+        if np.abs(missed).max() <= tolerance * tokens:
             break
-    total.step = 0
-    return rates, wanted, total(rates)
+    return rates, wanted, _totals(members, size, size, lambda many, p: (rates.replay(p)[0] * many) @ p)
 
 
 def domain_rates(docs: DataFrame, labels: DataFrame, domain, targets: dict[str, float], doc_id: str = "doc_id",
@@ -250,7 +264,10 @@ def _fitted(docs, labels, domain, targets, doc_id, text, sample):
 
     members = materialize(map_texts(docs, score, "n_tokens long, posteriors array<double>", [doc_id], text),
                           "domain-posteriors")
-    goal = np.array([targets.get(d, 0.0) for d in model.domains])
+    aimless = [d for d in model.domains if d not in targets]
+    if aimless:
+        raise ValueError(f"domains without a target: {aimless}; give 0 for none of their tokens")
+    goal = np.array([targets[d] for d in model.domains], dtype=float)
     if model.discriminant is None or not goal.sum():
         return model, members, Rates()
     rates, wanted, reached = fit_rates(members, goal)

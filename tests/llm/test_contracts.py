@@ -471,16 +471,49 @@ def test_mixing(spark):
     assert np.allclose(fitted.replay(p)[0], rate) and not np.allclose(rate, again)
 
 
-def test_mixing_is_the_least_squares_answer(spark):
-    """Against a dense solver on the same posteriors."""
-    from pulseframe.llm.mixing import fit_rates
+def _dense_rates(p, tokens, wanted, pull):
+    """Least squares rates by Newton steps on the few multipliers, on whole arrays: r = max(0, 1 - p @ m / pull)."""
+    weight = tokens.sum() / (tokens.sum() * ((p * tokens[:, None]).T @ p).diagonal())
+
+    def fault(m):
+        rate = np.maximum(0, 1 - p @ m / pull)
+        return rate, m - weight * ((rate * tokens) @ p - wanted)
+
+    m = np.zeros(len(wanted))
+    for _ in range(200):
+        rate, off = fault(m)
+        active = p * ((rate > 0) * tokens)[:, None]
+        move = np.linalg.solve(np.eye(len(m)) + weight[:, None] * (active.T @ p) / pull, off)
+        share = 1.0
+        while share > 1e-6 and np.abs(fault(m - share * move)[1]).max() > np.abs(off).max():
+            share /= 2
+        m = m - share * move
+    assert np.abs(fault(m)[1]).max() < 1e-9
+    return fault(m)[0]
+
+
+@pytest.mark.parametrize("targets", [(0.2, 0.5, 0.3), (0.0, 0.02, 0.98), (1.0, 0.0, 0.0)])
+def test_mixing_is_the_least_squares_answer(spark, monkeypatch, targets):
+    """Against a dense solver on the same posteriors; where the targets cannot be met the many passes skip Spark."""
+    from pulseframe.llm import mixing
+    from pulseframe.llm.mixing import PULL, fit_rates
     rng = np.random.default_rng(2)
     p = rng.dirichlet([0.5, 0.5, 0.5], 200)
     tokens = rng.integers(0, 500, 200)
     members = spark.createDataFrame([(int(t), q.tolist()) for t, q in zip(tokens, p)], "n_tokens long, posteriors array<double>")
-    rates, wanted, reached = fit_rates(members, np.array([0.2, 0.5, 0.3]), 200, 1e-9)
-    assert np.abs(reached - wanted).max() < 0.01 * tokens.sum()
-    assert (rates.replay(p)[0] >= 0).all()
+    if min(targets) == 0:
+        monkeypatch.setattr(mixing, "_totals", lambda members, size, cells, add: np.array(add(tokens, p)))
+    rates, wanted, reached = fit_rates(members.coalesce(1), np.array(targets), 0.0, 1e-9)
+    want = _dense_rates(p, tokens, wanted, PULL)
+    some = tokens > 0
+    assert np.abs(rates.replay(p)[0] - want)[some].max() < 1e-3
+    assert np.allclose(reached, (want * tokens) @ p, atol=1e-4 * tokens.sum())
+
+
+def test_mixing_needs_all_targets(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    with pytest.raises(ValueError, match="toxic1"):
+        domain_rates(docs, labels, queries.toxic_domain(), {"toxic0": 1.0})
 
 
 def test_mixing_tells_missed_targets(spark, caplog, monkeypatch):
