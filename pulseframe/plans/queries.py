@@ -460,8 +460,8 @@ SELECT experiment_id || '_20240101-123456789_data.tar.gz' AS archive,
        experiment_id || ' ' || device_param || ' ' || CAST(seq AS VARCHAR) || '.csv' AS member,
        TRUE AS ok, 'OK' AS reason
 FROM r GROUP BY experiment_id, device_param, seq
-UNION ALL SELECT DISTINCT experiment_id || '_20240101-123456789_data.tar.gz', 'notes.txt', FALSE, 'Not a CSV file' FROM r
-UNION ALL SELECT DISTINCT experiment_id || '_20240101-123456789_data.tar.gz', 'other.csv', FALSE, 'No match' FROM r
+UNION ALL SELECT DISTINCT experiment_id || '_20240101-123456789_data.tar.gz', 'notes.txt', FALSE, 'not a .csv member' FROM r
+UNION ALL SELECT DISTINCT experiment_id || '_20240101-123456789_data.tar.gz', 'other.csv', FALSE, 'name without parameter and number' FROM r
 """)
 def reactor_report(spark, sf_dir):
     rows = reactor_members(spark, si.reactor_archives(spark, sf_dir))

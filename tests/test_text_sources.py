@@ -1,8 +1,10 @@
 import datetime
 import io
 import math
+import random
 import tarfile
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +18,7 @@ from pulseframe.operators.inventory import classify_sources, limit_files
 from pulseframe.operators.positions import sorted_positions, with_record_idx
 from pulseframe.plans.conversion import convert_listmode_csv
 from pulseframe.plans.inventory_view import current_inventory
-from pulseframe.sources import text_format as fmt
+from pulseframe.sources import reactor, text_format as fmt
 from pulseframe.sources.files import list_files
 from pulseframe.sources.lines import read_lines
 from pulseframe.sources.manifest import classified_sources
@@ -192,6 +194,54 @@ def test_reactor(spark, tmp_path):
     assert not row["ok"] and row["archive"].endswith("TB-050_20240101-123456789_data.tar.gz")
 
 
+def test_member_pieces_give_the_rows_of_the_whole_member():
+    cells = ["1", "", "NA", '"a,b"', '"a\nb"', '"a""b"', 'x"y', '"q"z', " ", "é"]
+    picks = random.Random(7)
+    for case in range(400):
+        end = picks.choice(["\n", "\r\n"])
+        width = picks.choice([1, 2, 3])
+        lines = ["Timestamp,p,q"]
+        for _ in range(picks.randrange(12)):
+            lines.append(",".join(picks.choice(cells) for _ in range(width)))
+            lines += ["", "  "][:picks.randrange(3)]
+        data = (end.join(lines) + end * picks.randrange(2)).encode("cp1252")
+        want = pd.read_csv(io.BytesIO(data), encoding="windows-1252", dtype=str)
+        pieces = list(reactor.member_pieces(io.BytesIO(data), picks.choice([1, 7, 30, 1000])))
+        frames = [reactor.piece_frame(head, body) for _, _, head, body in pieces]
+        got = pd.concat(frames, ignore_index=True)
+        assert got.astype(object).where(got.notna(), None).values.tolist() == \
+            want.astype(object).where(want.notna(), None).values.tolist(), data
+        assert [first for _, first, _, _ in pieces] == [sum(map(len, frames[:n])) for n in range(len(frames))], data
+        assert [part for part, *_ in pieces] == list(range(len(pieces)))
+
+
+def test_reactor_long_members(spark, tmp_path):
+    lines = [f'{n},"v\n{n}"\n' for n in range(300_000)]
+    good = "".join(["Timestamp,v\n", *lines]).encode()
+    archive(tmp_path / "TB-1_20240101-123456789_data.tar.gz", [
+        ("TB-1 Long 1.csv", good), ("TB-1 Long 2.csv", good + b"1,2,3\n"), ("TB-1 Empty 1.csv", b""),
+        ("TB-1 Open 1.csv", b'Timestamp,v\n1,"2\n'), ("TB-1 Long 1.csv", b"Timestamp\n5\n")])
+    rows = read_reactor_archives(spark, str(tmp_path))
+    got = rows.groupBy("device_param", "seq").agg(
+        F.count("*"), F.count_distinct("line_no"), F.max("line_no"),
+        F.count_if(F.col("fields")["v"] == F.concat(F.lit("v\n"), F.col("Timestamp")))).collect()
+    assert [tuple(r) for r in got] == [("Long", 1, 300_001, 300_000, 299_999, 300_000)]
+    assert rows.rdd.getNumPartitions() > 1
+    report = [(r["member"], r["ok"]) for r in reactor_members(spark, str(tmp_path)).collect()]
+    assert sorted(report) == [("TB-1 Empty 1.csv", False), ("TB-1 Long 1.csv", True), ("TB-1 Long 1.csv", True),
+                              ("TB-1 Long 2.csv", False), ("TB-1 Open 1.csv", False)]
+
+
+def test_reactor_cut_archive(spark, tmp_path):
+    body = "Timestamp\n" + "".join(f"{random.Random(n).random()}\n" for n in range(200_000))
+    path = tmp_path / "TB-1_20240101-123456789_data.tar.gz"
+    archive(path, [("TB-1 A 1.csv", b"Timestamp\n1\n"), ("TB-1 B 1.csv", body.encode())])
+    path.write_bytes(path.read_bytes()[:-200_000])
+    assert [r["device_param"] for r in read_reactor_archives(spark, str(tmp_path)).collect()] == ["A"]
+    report = {r["member"]: r["ok"] for r in reactor_members(spark, str(tmp_path)).collect()}
+    assert report == {"TB-1 A 1.csv": True, "TB-1 B 1.csv": False}
+
+
 def test_dose_log(spark, tmp_path):
     day = "2024-03-10\t{}\t1.5\tµSv/h\t2\tcps\tok"
     text = ["FH40G-L10", "", "serial 1", "unit", "   ", "DATE\tTIME\tetc", day.format("01:59:59"),
