@@ -1,7 +1,9 @@
 """License scans by an exact set-similarity join with license templates, in DataFrame functions alone.
 
-Words of a text are grouped into overlapping blocks of ``BLOCK`` words. A block links with a template when it holds at
-least ``THRESHOLD`` of the template's distinct words. The join orders words by their document frequency in the whole
+Words of a text are grouped into overlapping blocks, one starting every half block. A block links with a template when it
+holds at least ``THRESHOLD`` of the template's distinct words. A block has ``BLOCK`` words for templates of up to half as
+many, and twice as many words for each doubling of a template's length: every verbatim template, however long and wherever
+it begins, lies whole in one block, and a long template does not widen the blocks of the short ones. The join orders words by their document frequency in the whole
 corpus, rarest first, and then
 
 * prefix: template and block must share one of the first ``k - need + 1`` words of the template, and one of the first
@@ -21,6 +23,7 @@ equal or null ids are judged each (rows get numbers of their own); an empty tabl
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -61,14 +64,17 @@ def words_of(text):
 
 
 def _template_words(templates: dict[str, str]) -> dict[str, list[str]]:
-    import re
-    found = {}
-    for name, text in templates.items():
-        lowered = text.translate(str.maketrans(UPPER, LOWER))
-        distinct = sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)))
-        if distinct:
-            found[name] = distinct
-    return found
+    """Words of each template that has any, in order."""
+    found = {name: re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER))) for name, text in templates.items()}
+    return {name: words for name, words in found.items() if words}
+
+
+def _half_block(length: int, block: int) -> int:
+    """Step of the blocks for a template of ``length`` words: half a ``block``, doubled until the template fits in it."""
+    half = max(block // 2, 1)
+    while half < length:
+        half *= 2
+    return half
 
 
 def _phrase_at(words, parts: list[str], label: str):
@@ -99,7 +105,9 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
                  threshold: float = THRESHOLD, block: int = BLOCK, phrases: dict[str, str] | None = None) -> DataFrame:
     """Per document ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``."""
     spark = docs.sparkSession
-    known = _template_words(TEMPLATES if templates is None else templates)
+    running = _template_words(TEMPLATES if templates is None else templates)
+    half_of = {name: _half_block(len(words), block) for name, words in running.items()}
+    known = {name: sorted(set(words)) for name, words in running.items()}
     needs = {name: math.ceil(threshold * len(words) - 1e-9) for name, words in known.items()}
     vocabulary = sorted({w for words in known.values() for w in words})
     least = min(needs.values(), default=1 << 30)
@@ -120,25 +128,30 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
                .groupBy("template").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
                .select("template", F.transform("tokens", lambda t: t["word"]).alias("t_words"),
                        F.size("tokens").alias("k")))
-    ordered = ordered.join(spark.createDataFrame(list(needs.items()), "template string, need int"), "template")
-    lookup = ordered.select("template", "t_words", "k", "need", F.posexplode("t_words").alias("i", "word"))
+    sizes = [(name, need, half_of[name]) for name, need in needs.items()]
+    ordered = ordered.join(spark.createDataFrame(sizes, "template string, need int, half int"), "template")
+    lookup = ordered.select("template", "half", "t_words", "k", "need", F.posexplode("t_words").alias("i", "word"))
     lookup = lookup.filter(F.col("i") < F.col("k") - F.col("need") + 1)
 
     # a block starts every half block, so that each stretch of half a block lies whole in one of them
-    half = block // 2
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col("n_words") - half) / half).cast("int") - 1))
+    def starts(half: int):
+        last = F.greatest(F.lit(0), F.ceil((F.col("n_words") - half) / half).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda n: F.struct(F.lit(half).alias("half"), n.alias("number")))
+
+    halves = sorted(set(half_of.values())) or [_half_block(1, block)]
     blocks = (base.filter(F.col("words").isNotNull())
-              .select("__row", "words", F.explode(starts).alias("number"))
-              .select("__row", "number", F.explode(F.array_intersect(
-                  F.slice("words", F.col("number") * half + 1, block),
+              .select("__row", "words", F.inline(F.concat(*map(starts, halves))))
+              .select("__row", "half", "number", F.explode(F.array_intersect(
+                  F.slice("words", F.col("number") * F.col("half") + 1, F.col("half") * 2),
                   F.array(*map(F.lit, vocabulary)).cast("array<string>"))).alias("word"))
               .join(frequency, "word")
-              .groupBy("__row", "number").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("tokens"))
-              .select("__row", "number", F.transform("tokens", lambda t: t["word"]).alias("b_words"),
+              .groupBy("__row", "half", "number")
+              .agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("tokens"))
+              .select("__row", "half", F.transform("tokens", lambda t: t["word"]).alias("b_words"),
                       F.size("tokens").alias("b")))
     candidates = (blocks.filter(F.col("b") >= least)
-                  .select("__row", "number", "b_words", "b", F.posexplode("b_words").alias("j", "word"))
-                  .join(lookup, "word")
+                  .select("__row", "half", "b_words", "b", F.posexplode("b_words").alias("j", "word"))
+                  .join(lookup, ["word", "half"])
                   .filter((F.col("b") >= F.col("need")) & (F.col("j") < F.col("b") - F.col("need") + 1)
                           & (F.least("i", "j") + 1 + F.least(F.col("k") - F.col("i") - 1, F.col("b") - F.col("j") - 1)
                              >= F.col("need"))))

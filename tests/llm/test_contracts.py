@@ -88,6 +88,24 @@ def test_license_templates(spark):
     assert got[4] == ("gpl,mit", 1.0) and got[5][0] == "apache,isc"
 
 
+def test_license_long_templates(spark):
+    """Verbatim templates longer than a block link wherever they begin; short ones keep their narrow blocks."""
+    long, middle = ([f"{kind}{i}" for i in range(n)] for kind, n in (("l", 700), ("m", 150)))
+    short = [f"s{i}" for i in range(20)]
+    templates = {"long": " ".join(long), "middle": " ".join(middle), "short": " ".join(short)}
+    filler = [f"f{i}" for i in range(1000)]
+    texts = {n: filler[:n] + words + filler[n:2 * n] for n, words in enumerate([long, middle, short] * 5, 40)}
+    texts |= {300: filler[:45] + middle, 301: filler[:333] + long + filler, 302: long[:559], 303: long[:560],
+              304: [w for s in short for w in [s, *filler[:40]]], 305: filler[:9] + long + middle + short}
+    docs = spark.createDataFrame([(n, " ".join(words)) for n, words in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan(docs, templates=templates, phrases={}).collect()}
+    want = {n: ["long", "middle", "short"][(n - 40) % 3] for n in range(40, 55)}
+    want |= {300: "middle", 301: "long", 302: "", 303: "long", 304: "", 305: "long,middle,short"}
+    assert got == want
+    none = license_scan(docs, templates={}, phrases={})
+    assert {(r.labels, r.score) for r in none.collect()} == {("", 0.0)}
+
+
 def test_license_join_is_exact(spark):
     """Random blocks around the threshold against plain containment."""
     rng = np.random.default_rng(5)
