@@ -468,6 +468,27 @@ def reactor_report(spark, sf_dir):
     return rows.withColumn("archive", fx.base_name(F.col("archive")))
 
 
+@query(_REACTOR + """
+SELECT experiment_id, device_param, seq, line_no, TRUE AS ok, stamp, value,
+       'says "' || replace(device_param, ' param', '') || '",' || chr(10) || CAST(event_id AS VARCHAR) AS note
+FROM l WHERE seq <> 3
+UNION ALL
+SELECT DISTINCT experiment_id, device_param, seq, NULL, FALSE, NULL, NULL, NULL FROM l WHERE seq = 3
+""")
+def reactor_faults(spark, sf_dir):
+    """Records of several lines, and members that fail at their last record: these give no rows but a report."""
+    root = si.reactor_archives(spark, sf_dir, faulty=True)
+    rows = read_reactor_archives(spark, root).select(
+        "experiment_id", "device_param", F.col("seq").cast("bigint").alias("seq"), "line_no", F.lit(True).alias("ok"),
+        F.col("Timestamp").alias("stamp"), F.col("fields").getItem("value (µA)").try_cast("double").alias("value"),
+        F.col("fields").getItem("note").alias("note"))
+    failed = reactor_members(spark, root).where("NOT ok AND member LIKE '% param %'").select(
+        F.regexp_extract("member", r"^(\S+) (.+) (\d+)\.csv$", 1).alias("experiment_id"),
+        F.regexp_extract("member", r"^(\S+) (.+) (\d+)\.csv$", 2).alias("device_param"),
+        F.regexp_extract("member", r"^(\S+) (.+) (\d+)\.csv$", 3).cast("bigint").alias("seq"), "ok")
+    return rows.unionByName(failed, allowMissingColumns=True)
+
+
 @query(_EVENTS + """
 SELECT event_id, event_type, CASE WHEN k < 50 THEN value END AS low_value, CASE WHEN k >= 50 THEN k END AS high_k
 FROM e

@@ -242,11 +242,12 @@ def count_lines(spark: SparkSession, sf_dir: str, suffix: str) -> DataFrame:
         F.col("n").cast("string").alias("value"))
 
 
-def reactor_archives(spark: SparkSession, sf_dir: str, numeric: bool = False) -> str:
+def reactor_archives(spark: SparkSession, sf_dir: str, numeric: bool = False, faulty: bool = False) -> str:
     """Folder of archives: an experiment a range of events, a parameter an event type, members by user.
 
     Members with an odd number have an extra column; each archive also has two members to skip. ``numeric``
-    archives have event numbers for times.
+    archives have event numbers for times. ``faulty`` ones have notes of two lines, and members with number 3 end
+    with a record that has too many fields.
     """
     ship_package(spark)
     root = scratch_path(spark, "reactor")
@@ -270,7 +271,10 @@ def reactor_archives(spark: SparkSession, sf_dir: str, numeric: bool = False) ->
             for (kind, seq), part in frame.sort_values("event_id").groupby(["event_type", "seq"]):
                 columns = ["Timestamp", "value"] + (["k"] if seq % 2 else [])
                 named = part[columns].rename(columns={"value": "value (µA)"})
-                add(f"TB-{number} {kind} param {seq}.csv", named.to_csv(index=False))
+                if faulty:
+                    named["note"] = 'says "' + kind + '",\n' + part["event_id"].astype(str)
+                surplus = "1,2,3,4,5,6\n" if faulty and seq == 3 else ""
+                add(f"TB-{number} {kind} param {seq}.csv", named.to_csv(index=False) + surplus)
         write_whole(f"{root}/e{number}/TB-{number}_20240101-123456789_data.tar.gz", out.getvalue())
         return pd.DataFrame({"n": [len(frame)]})
 
