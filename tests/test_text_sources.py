@@ -21,7 +21,7 @@ from pulseframe.plans.inventory_view import current_inventory
 from pulseframe.sources import reactor, text_format as fmt
 from pulseframe.sources.files import list_files
 from pulseframe.sources.lines import read_lines
-from pulseframe.sources.manifest import classified_sources
+from pulseframe.sources.manifest import classified_sources, source_manifest, source_roots
 from pulseframe.sources.reactor import read_reactor_archives, reactor_members
 from pyspark.sql import functions as F
 
@@ -457,3 +457,13 @@ def test_sources_are_classified_from_storage(spark, tmp_path):
         "c/UNFILTERED": (None, "unsupported"), "d": (None, "unsupported"), "e/RAW": ("e", "listmode_bin"),
         "e/plain.log": ("e", "listmode_bin"), "e/UNFILTERED/SData_1.bin": ("e", "listmode_bin"), "f": (None, "unsupported"),
         "day.LOG": ("day.LOG", "dose_meter")}
+
+
+def test_a_folder_of_many_logs_is_listed_once(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"day-{i}.log").write_text("FH40G\n" if i % 2 else "other\n")
+    table = spark.createDataFrame([(f"{tmp_path}/day-{i}.log",) for i in range(40)] * 2, "source STRING")
+    found = source_roots(table)
+    assert source_manifest(found).count() == 20 + 40  # each dose log, and the entries of the folder of the others
+    got = {r.source.rsplit("-", 1)[-1]: (r.root, r.source_class) for r in classified_sources(table).collect()}
+    assert got == {f"{i}.log": (f"{tmp_path}/day-{i}.log", "dose_meter") if i % 2 else (None, "unsupported") for i in range(40)}
