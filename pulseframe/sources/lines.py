@@ -33,10 +33,13 @@ FILES_PER_TASK = 64
 def cut(total: int, files: int, parallelism: int, split_bytes: int | None = None) -> tuple[int, int]:
     """Bytes of a span and number of tasks: large spans for large data, all cores for small data.
 
-    Opening a file counts as a small share of a span, so that many small files share a task.
+    Opening a file counts as a small share of a span, so that many small files share a task. So do many spans that a caller
+    wants smaller: their number is not that of the tasks, each of which costs its worker time and memory.
     """
-    size = split_bytes or max(MIN_SPLIT_BYTES, min(SPLIT_BYTES, total // max(3 * parallelism, 1)))
-    return size, max(1, -(-(total + files * (size // FILES_PER_TASK)) // size), min(files, parallelism))
+    usual = max(MIN_SPLIT_BYTES, min(SPLIT_BYTES, total // max(3 * parallelism, 1)))
+    size = split_bytes or usual
+    share = max(size, usual)
+    return size, max(1, -(-(total + files * (share // FILES_PER_TASK)) // share), min(files, parallelism))
 
 
 def spans_of(files: DataFrame, split_bytes: int | None = None) -> tuple[DataFrame, int]:

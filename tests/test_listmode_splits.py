@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from binfile import header, record
+from pulseframe.sources.lines import cut
 from pulseframe.sources import listmode_format as fmt
 from pulseframe.sources.listmode_bin import _reachable
 
@@ -80,3 +81,9 @@ def test_random_files(seed):
     want = plain_walk(data, flags)
     for split_bytes in (1 << 30, rng.randrange(30, 200), rng.randrange(200, 4000)):
         assert by_splits(data, split_bytes) == want, split_bytes
+
+
+def test_spans_smaller_than_usual_share_tasks():
+    assert cut(19_000_000, 1200, 8, 4096) == (4096, 24)  # 4,658 tasks of a span each before
+    assert cut(19_000_000, 1200, 8) == (4 << 20, 24)
+    assert cut(1 << 30, 1, 8, 512 << 20) == (512 << 20, 3)
