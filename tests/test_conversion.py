@@ -10,6 +10,7 @@ from pulseframe.plans.conversion import convert_dose_log, convert_experiment, co
 from pulseframe.plans.inventory_view import current_inventory
 from pulseframe.sources.tables import read_conversion_logs
 from pulseframe.streaming.conversion import (
+    _logged,
     continuous_conversion, continuous_experiments, converted_so_far, status_so_far,
 )
 from pulseframe.streaming.logs import log_stream
@@ -288,3 +289,13 @@ def test_experiments_are_converted_once_complete(spark, tmp_path):
     land(marker="done", reconvert=True)
     assert rows() == [("TB-1", 1), ("TB-2", 2), ("TB-2", 22), ("TB-2", 222)]
     assert [r.log for r in spark.read.parquet(f"{dest}/wendi").collect()] == ["day.log"]
+
+
+def test_only_logs_of_landed_experiments_are_looked_for(spark, tmp_path):
+    for name in ("TB-1", "TB-2", "day-3"):
+        (tmp_path / "logs" / name).mkdir(parents=True)
+        (tmp_path / "logs" / name / "conversion.log").write_text("x")
+    (tmp_path / "logs" / "TB-4" / "conversion.log").mkdir(parents=True)
+    landed = spark.createDataFrame([("TB-1",), ("day-3",), ("TB-4",), ("TB-5",)], "id STRING")
+    assert {r.id for r in _logged(landed, f"{tmp_path}/logs").collect()} == {"TB-1", "day-3"}
+    assert _logged(landed, f"{tmp_path}/none").count() == 0
