@@ -1,6 +1,7 @@
 import datetime
 import io
 import math
+import os
 import random
 import tarfile
 
@@ -16,6 +17,7 @@ from pulseframe.operators import devicelog, doselog, listmode as lm, logs, metad
 from pulseframe.operators import joins
 from pulseframe.operators.inventory import classify_sources, limit_files
 from pulseframe.operators.positions import sorted_positions, with_record_idx
+from pulseframe.plans import queries, stand_ins as si
 from pulseframe.plans.conversion import convert_listmode_csv
 from pulseframe.plans.inventory_view import current_inventory
 from pulseframe.sources import reactor, text_format as fmt
@@ -467,3 +469,43 @@ def test_a_folder_of_many_logs_is_listed_once(spark, tmp_path):
     assert source_manifest(found).count() == 20 + 40  # each dose log, and the entries of the folder of the others
     got = {r.source.rsplit("-", 1)[-1]: (r.root, r.source_class) for r in classified_sources(table).collect()}
     assert got == {f"{i}.log": (f"{tmp_path}/day-{i}.log", "dose_meter") if i % 2 else (None, "unsupported") for i in range(40)}
+
+
+def test_files_read_in_rounds_are_removed(spark, lines):
+    names = [f"data/{k}/run.info" for k in range(40)]
+    table = lines({name: ["run", f"id={name}"] for name in names})
+    seen = []
+
+    def read(root):
+        seen.append((root, list_files(spark, root).count()))
+        return read_lines(spark, root, "run.info")
+
+    got = si.read_in_rounds(table, "rounds", read, files_per_round=10)
+    assert sorted(r["value"] for r in got.where("line_no = 1").collect()) == sorted(f"id={name}" for name in names)
+    assert got.count() == 80 and len(seen) == 4
+    assert max(n for _, n in seen) < 40 and sum(n for _, n in seen) == 40
+    assert not any(os.path.exists(root) for root, _ in seen)
+
+
+def test_run_info_scan_leaves_no_files(spark, tmp_path, monkeypatch):
+    spark.sql("""SELECT id AS o_orderkey, DATE'2024-01-02' AS o_orderdate, 'O' AS o_orderstatus, id AS o_custkey, 1.0 AS o_totalprice,
+        CASE id % 3 WHEN 0 THEN '5-LOW' WHEN 1 THEN '3-MEDIUM' ELSE '4-NOT SPECIFIED' END AS o_orderpriority
+        FROM range(30)""").write.parquet(f"{tmp_path}/orders.parquet")
+    made = []
+
+    def scratch(session, label):
+        made.append(f"{tmp_path}/{label}-{len(made)}")
+        return made[-1]
+
+    monkeypatch.setattr(si, "scratch_path", scratch)
+    got = queries.run_info_scan(spark, str(tmp_path)).collect()
+    assert sorted(got, key=str) == sorted(queries.run_info(spark, str(tmp_path)).collect(), key=str) and len(got) == 30
+    assert made and not list(tmp_path.rglob("run.info"))
+
+
+def test_small_files_share_tasks_of_lines():
+    from pulseframe.sources.lines import LINE_FILES_PER_TASK, cut
+
+    size, tasks = cut(6_000_000, 150_000, 8, files_per_task=LINE_FILES_PER_TASK)
+    assert size == 4 << 20 and tasks < 200  # 2,346 before
+    assert cut(6_000, 150, 8, files_per_task=LINE_FILES_PER_TASK) == (4 << 20, 8)
